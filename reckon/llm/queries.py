@@ -7,7 +7,13 @@ from importlib import import_module
 #: Query name -> module; each module has a function of the query's name.
 MODULES = {
     "op1_token_counts": "token_counts",
+    "op2_surrogates": "surrogates",
+    "op3_topk_maxscore": "maxscore",
+    "op4_quality_classifier": "quality",
+    "op5_line_dedup": "winnowing",
     "op6_packing": "packing",
+    "op8_quality_rules": "quality",
+    "op9_jaccard_join": "chosen_path",
 }
 
 
