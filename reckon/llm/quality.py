@@ -49,6 +49,19 @@ def fitted(training: DataFrame, vector, width: int, **options) -> trees.Forest:
     return trees.fit(x, np.array([r.label for r in rows], dtype=float), **options)
 
 
+def quality_scores(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2, modulus: int = 4):
+    """Fit on the labelled rows that are not held out; returns a function from a text column to its score column."""
+    model = fitted(labelled(docs, labels.filter(remainder("doc_id", modulus) != held_out_remainder), "quality"), statistics.features, len(statistics.NAMES))
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            x = np.array([statistics.features(t or "") for t in b], dtype=float).reshape(-1, len(statistics.NAMES))
+            yield pd.Series(model.score(x))
+
+    return scored
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2, modulus: int = 4, predict_from: float = PREDICT_FROM) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -57,14 +70,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out_remainder: int = 2, mo
     words has all features 0 and is scored as such; a null id hashes as ''. Without usable labels every score is
     0.5. Repeated rows give repeated rows; other columns are ignored.
     """
-    model = fitted(labelled(docs, labels.filter(remainder("doc_id", modulus) != held_out_remainder), "quality"), statistics.features, len(statistics.NAMES))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([statistics.features(t) for t in b["text"]], dtype=float).reshape(-1, len(statistics.NAMES))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": model.score(x)})
-
-    out = texts(docs).mapInPandas(scored, "doc_id long, score double")
+    scored = quality_scores(docs, labels, held_out_remainder, modulus)
+    out = texts(docs).select("doc_id", scored("text").alias("score"))
     return out.select("doc_id", (remainder("doc_id", modulus) == held_out_remainder).alias("held_out"), "score", (F.col("score") >= predict_from).cast("int").alias("predicted"))
 
 

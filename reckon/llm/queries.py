@@ -12,8 +12,10 @@ MODULES = {
     "op4_quality_classifier": "quality",
     "op5_line_dedup": "winnowing",
     "op6_packing": "packing",
+    "op7_lm_scoring": "bilinear",
     "op8_quality_rules": "quality",
     "op9_jaccard_join": "chosen_path",
+    "op10_mixing": "mixing",
 }
 
 
