@@ -1,9 +1,9 @@
 """Operator 5, line dedup: winnowing over line hashes. DataFrame functions only.
 
-The lines with a word of a text form a sequence of hashes with word counts. A window is the lines that start within
-`words` words of its first line; every window that is full gives its smallest hash as a fingerprint. Two texts
-that share a run of whole lines with at least that many words so share a fingerprint, and a single line that long
-is one. Each fingerprint is joined with its first place in the corpus only (texts by id, then by line), so a group of
+The lines with a word of a text form a sequence of hashes with word counts. A gram is the lines that start within
+GRAM words of its first line, hashed together; a window is the lines that start within `words` words of its
+first, and gives the smallest hash of the grams that surely lie in it as a fingerprint. Two texts that share a run of
+whole lines with at least `words` words so share a fingerprint, and a single line that long is one. Each fingerprint is joined with its first place in the corpus only (texts by id, then by line), so a group of
 copies costs its size, not its square. A match is extended both ways as far as lines agree; the later run is
 deleted if it holds `words` words. Since a deleted run equals an earlier one, the first of all copies stays.
 """
@@ -17,6 +17,8 @@ from reckon.llm.common import cut, parquet
 
 #: Words that a repeated run must hold.
 WORDS = 50
+#: Words that the lines of a fingerprint hold at least (all of a window's, if a window asks for fewer).
+GRAM = 25
 
 
 def line_words(line: Column) -> Column:
@@ -24,6 +26,11 @@ def line_words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside another function's lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _marks(sorted_numbers: Column) -> Column:
     """An array of characters, 'F' at each of the ascending distinct numbers, '.' before and between."""
     gap = lambda x, k: F.concat(F.repeat(F.lit("."), (x - F.coalesce(F.get(sorted_numbers, k - 1), F.lit(-1)) - 1).cast("int")), F.lit("F"))
@@ -47,13 +54,15 @@ def line_sequences(docs: DataFrame, words: int) -> DataFrame:
 
 
 def fingerprints(sequences: DataFrame, words: int) -> DataFrame:
-    """fp, place, no: the smallest hash of every full window, with its line's number in the sequence."""
+    """fp, place, no: the smallest gram of every full window, with its first line's number in the sequence."""
+    gram = min(GRAM, words)
     flat = sequences.select("place", F.posexplode(F.arrays_zip("hashes", "counts")).alias("no", "x")).select("place", "no", F.col("x.hashes").alias("hash"), F.col("x.counts").alias("words"))
     text = Window.partitionBy("place")
     flat = flat.select("place", "no", "hash", (F.sum("words").over(text.orderBy("no")) - F.col("words")).alias("start"), F.sum("words").over(text).alias("total"))
-    least = F.min(F.struct("hash", "no")).over(text.orderBy("start").rangeBetween(0, words - 1))
-    picked = flat.select("place", least.alias("m"), (F.col("start") + words <= F.col("total")).alias("full")).filter("full")
-    return picked.select("place", F.col("m.hash").alias("fp"), F.col("m.no").alias("no")).groupBy("place", "no").agg(F.min("fp").alias("fp"))
+    at = text.orderBy("start")
+    grams = flat.select("place", "no", "start", "total", F.xxhash64(F.collect_list("hash").over(at.rangeBetween(0, gram - 1))).alias("gram"))
+    picked = grams.select("place", F.min(F.struct("gram", "no")).over(at.rangeBetween(0, words - gram)).alias("m"), (F.col("start") + words <= F.col("total")).alias("full")).filter("full")
+    return picked.select("place", F.col("m.gram").alias("fp"), F.col("m.no").alias("no")).distinct()
 
 
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -67,19 +76,19 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
         .groupBy("place", "source", "shift").agg(F.array_sort(F.collect_set("no")).alias("at"))
     )
     sources = sequences.select(F.col("place").alias("source"), F.col("hashes").alias("source_hashes"))
-    both = matches.join(sources, "source").join(sequences, "place").withColumn("marks", _marks(F.col("at")))
+    both = matches.join(sources, "source").join(sequences, "place")
     # A character a line: F where a fingerprint is, 1 where the lines agree on this diagonal, 0 elsewhere.
     agree = lambda h, i: F.coalesce(h == F.get("source_hashes", (i - F.col("shift")).cast("int")), F.lit(False))
-    chars = F.array_join(F.transform("hashes", lambda h, i: F.when(F.get("marks", i) == "F", "F").when(agree(h, i), "1").otherwise("0")), "")
+    chars = _bind(_marks(F.col("at")), lambda marks: F.array_join(F.transform("hashes", lambda h, i: F.when(F.get(marks, i) == "F", "F").when(agree(h, i), "1").otherwise("0")), ""))
     runs = F.split(chars, "(?<=0)(?=[^0])|(?<=[^0])(?=0)")
 
     def extend(done, run):
         held = F.aggregate(F.slice("counts", F.length(done) + 1, F.length(run)), F.lit(0), lambda a, c: a + c)
         return F.concat(done, F.when(run.contains("F") & (held >= words), F.repeat(F.lit("D"), F.length(run))).otherwise(run))
 
-    marked = both.select("place", "nos", F.split(F.aggregate(runs, F.lit(""), extend), "").alias("flags"))
-    numbers = F.filter(F.transform("nos", lambda no, i: F.when(F.get("flags", i) == "D", no)), lambda x: x.isNotNull())
-    found = marked.select("place", numbers.alias("gone")).filter(F.size("gone") > 0)
+    flags = F.split(F.aggregate(runs, F.lit(""), extend), "")
+    numbers = _bind(flags, lambda f: F.filter(F.transform("nos", lambda no, i: F.when(F.get(f, i) == "D", no)), lambda x: x.isNotNull()))
+    found = both.select("place", numbers.alias("gone")).filter(F.size("gone") > 0)
     return found.groupBy("place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
@@ -96,8 +105,8 @@ def drop_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     lines = F.split(text_col, "\n")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     own = docs.select(*names, place.alias("_place")).alias("own")
-    joined = own.join(gone.alias("gone"), F.col("own._place") == F.col("gone.place"), "left").withColumn("_marks", _marks(F.col("gone.gone")))
-    left = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("_marks", i) != "F", F.lit(True))), "\n")
+    joined = own.join(gone.alias("gone"), F.col("own._place") == F.col("gone.place"), "left")
+    left = _bind(_marks(F.col("gone.gone")), lambda marks: F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get(marks, i) != "F", F.lit(True))), "\n"))
     text = F.when(F.col("gone.gone").isNull(), F.col(f"own.{text_col}")).otherwise(left)
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"own.{c}") for c in names], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone.gone"), F.lit(0)).cast("long").alias("n_removed"))
 

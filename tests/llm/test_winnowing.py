@@ -1,25 +1,35 @@
 import random
 
+import pytest
+
 from reckon.llm import winnowing
 
 
-def hash_of(spark, lines):
-    rows = spark.createDataFrame([(x,) for x in sorted(set(lines))], "x string").selectExpr("x", "xxhash64(x) h").collect()
-    return {r.x: r.h for r in rows}
+def hash_of(spark, grams):
+    rows = spark.createDataFrame([(list(g),) for g in sorted(grams)], "g array<string>").selectExpr("g", "xxhash64(transform(g, x -> xxhash64(x))) h").collect()
+    return {tuple(r.g): r.h for r in rows}
+
+
+def cover(seq, a, words):
+    """One past the last line of those that start within `words` words of line a's start; their words."""
+    total, b = 0, a
+    while b < len(seq) and total < words:
+        total += seq[b][2]
+        b += 1
+    return b, total
 
 
-def brute(texts, hashes, words):
+def brute(spark, texts, words):
     """texts: id -> text. The same definition by plain loops: id -> numbers of the lines that go."""
-    seqs = {i: [(k, hashes[x], min(words, len(x.split()))) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
+    seqs = {i: [(k, x, min(words, len(x.split()))) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
+    gram = min(winnowing.GRAM, words)
+    key = {(i, a): tuple(x[1] for x in seq[a : cover(seq, a, gram)[0]]) for i, seq in seqs.items() for a in range(len(seq))}
+    hashes = hash_of(spark, set(key.values()))
     places = {}
     for i, seq in seqs.items():
         for a in range(len(seq)):
-            total, b = 0, a
-            while b < len(seq) and total < words:
-                total += seq[b][2]
-                b += 1
-            if total >= words:
-                h, no = min((seq[k][1], k) for k in range(a, b))
+            if cover(seq, a, words)[1] >= words:
+                h, no = min((hashes[key[i, k]], k) for k in range(a, len(seq)) if sum(x[2] for x in seq[a:k]) <= words - gram)
                 places.setdefault(h, set()).add((i, no))
     gone = {}
     for h, found in places.items():
@@ -37,15 +47,16 @@ def brute(texts, hashes, words):
     return gone
 
 
-def test_against_loops(spark):
+@pytest.mark.parametrize("words", [20, 40])
+def test_against_loops(spark, words):
     rng = random.Random(3)
     pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 5, 9, 30]))) for _ in range(25)] + ["", "  "]
     texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 3, 8, 20, 60]))) for i in range(80)}
     for i in range(60, 75):
         texts[i] = texts[i - 40] + "\n" + texts[i - 20]
-    want = brute(texts, hash_of(spark, [x for t in texts.values() for x in t.split("\n")]), 20)
+    want = brute(spark, texts, words)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in winnowing.drop_repeats(docs, words=20).collect()}
+    got = {r.doc_id: r for r in winnowing.drop_repeats(docs, words=words).collect()}
     assert want
     for i, t in texts.items():
         assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())), i
