@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,10 @@ from reckon.llm.common import parquet, texts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that one best-fit-decreasing run takes at most; a task with more starts another run.
 RUN_PIECES = 100_000
+#: Entries of a worker's chunk cache; beyond it the cache starts anew.
+CACHE_ENTRIES = 500_000
+#: Texts that are encoded together.
+TEXTS = 500
 
 
 class CapacityTree:
@@ -70,34 +75,55 @@ def best_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list[
 
 
 class Encoder:
-    """Token ids of texts by the tokenizers library, kept by white-space-separated chunk where that is the same."""
+    """Token ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers.
+
+    The vocabulary's words do not influence each other, so ids are kept by white-space-separated chunk. New chunks
+    that are letters with punctuation after them are cut there; their letters go to the library many at a time, and the
+    ids that end a word tell where each word's ids end. Texts that a chunk cannot stand for go to the library whole.
+    """
+
+    #: Punctuation that forms one word of the pattern after letters.
+    after = ".,!?;:*$&%#\"()"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, list[int]] = {}
-        self.plain = bpe.WordBpe.plain
-
-    def learn(self, texts: list[str]) -> None:
-        """Put the chunks of texts that the cache lacks into it, by one call of the library."""
-        if len(self.ids) >= bpe.CACHE_ENTRIES:
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.ids: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[str], at_once: int = 200) -> None:
+        """Ids of words of letters alone."""
+        parts = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            body = ids.tobytes()
+            if len(cuts) == len(part) + 1:
+                self.ids.update((w, body[i:j]) for w, i, j in zip(part, cuts, cuts[1:]))
+            else:
+                self.ids.update(zip(part, self.library(part)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; some hundred texts at a time, so that what is held besides the cache stays small."""
+        if len(self.ids) >= CACHE_ENTRIES:
             self.ids.clear()
-        new = list(set().union(*(t.lower().split() for t in texts if self.cuts(t))).difference(self.ids))
-        self.ids.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-
-    def cuts(self, text: str) -> bool:
-        return not ("<|" in text or self.plain.search(text))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text given to learn() just before."""
-        if not self.cuts(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for ids in map(self.ids.__getitem__, text.lower().split()):
-            out += ids
-        return out
+        chunks = [None if "<|" in t or bpe.WordBpe.plain.search(t) else t.lower().split() for t in texts]
+        new = set().union(*filter(None, chunks)).difference(self.ids)
+        cut = [(c, w, c[len(w) :]) for c in new if (w := c.rstrip(self.after)).isalpha()]
+        plain = {c for c, _, _ in cut}
+        other = list((new - plain) | {t for _, _, t in cut if t and t not in self.ids})
+        self.ids.update(zip(other, self.library(other)))
+        self.letters([w for w in {w for _, w, _ in cut} if w not in self.ids])
+        ids = self.ids
+        ids.update((c, ids[w] + ids[t]) for c, w, t in cut if t)
+        return [self.library([t])[0] if c is None else b"".join(map(ids.__getitem__, c)) for t, c in zip(texts, chunks)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -119,8 +145,20 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, id_col: str = "doc_
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path or bpe.default_path())
         next_id = TaskContext.get().partitionId() << 40
+        end = array("I", [end_id]).tobytes()
         rest: list[tuple] = []
 
+        def cut(doc_id, ids: bytes, full: list[tuple]) -> None:
+            nonlocal next_id
+            for start in range(0, len(ids) // 4, size):
+                piece = ids[4 * start : 4 * (start + size)]
+                row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
+                if len(piece) == 4 * size:
+                    full.append((*row, next_id, 0))
+                    next_id += 1
+                else:
+                    rest.append(row)
+
         def run() -> pd.DataFrame:
             nonlocal next_id
             window, offset, made = best_fit_decreasing([r[2] for r in rest], size)
@@ -130,20 +168,13 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, id_col: str = "doc_
             return out
 
         for batch in batches:
-            full = []
-            enc.learn(batch["text"].tolist())
-            for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
-                ids = np.array([*enc.encode(text), end_id], dtype="<u4")
-                for start in range(0, len(ids), size):
-                    piece = ids[start : start + size]
-                    row = (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))
-                    if len(piece) == size:
-                        full.append((*row, next_id, 0))
-                        next_id += 1
-                    else:
-                        rest.append(row)
-                        if len(rest) >= RUN_PIECES:
-                            yield run()
+            full, ids_of = [], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
+            for at in range(0, len(batch), TEXTS):
+                made = enc.encode(batch["text"].iloc[at : at + TEXTS].tolist())
+                for doc_id, ids in zip(ids_of[at : at + TEXTS], made):
+                    cut(doc_id, ids + end, full)
+                    if len(rest) >= RUN_PIECES:
+                        yield run()
             if full:
                 yield frame(full)
         if rest:

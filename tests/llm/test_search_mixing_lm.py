@@ -10,8 +10,8 @@ from reckon.llm import bilinear, maxscore, mixing
 
 def test_top_k_against_all_pairs(spark):
     rng = random.Random(4)
-    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, rng.gauss(0, 1)]) for _ in range(6)]) for i in range(120)]
-    rows += [(200 + i, rows[0][1]) for i in range(8)] + [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (304, [1.0, 2.0]), (305, []), (5, rows[5][1])]
+    rows = [(i, [float(rng.choice([-0.5, 0.0, 0.25, rng.gauss(0, 1)])) for _ in range(6)]) for i in range(120)]
+    rows += [(200 + i, rows[0][1]) for i in range(8)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (304, [1.0, 2.0]), (305, []), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     asked = [0, 50, 100, 200, 304]
