@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 #: Strategies from best to worst, with their confidence.
 STRATEGIES = {
@@ -38,10 +39,12 @@ def equi_pairs(sources: DataFrame, targets: DataFrame, strategy: str) -> DataFra
 
 
 def name_context_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Equal names, and equal objects or equal subobjects."""
-    s = sources.filter("work_name is not null").select("source_row_id", "work_name", F.col("object_code").alias("so"), F.col("subobject_code").alias("ss"))
-    t = targets.filter("work_name is not null").select("target_row_id", "work_name", F.col("object_code").alias("to"), F.col("subobject_code").alias("ts"))
-    return s.join(t, "work_name").filter("so = to or ss = ts").select("source_row_id", "target_row_id")
+    """Equal names, and equal objects or equal subobjects: two equi-joins that share no pair."""
+    cols = ("work_name", "object_code", "subobject_code")
+    s, t = sources.filter("work_name is not null").select("source_row_id", *cols), targets.filter("work_name is not null").select("target_row_id", *cols)
+    by_object = s.drop("subobject_code").join(t.drop("subobject_code"), ["work_name", "object_code"])
+    rest = s.alias("s").join(t.alias("t"), ["work_name", "subobject_code"]).filter("not coalesce(s.object_code = t.object_code, false)")
+    return by_object.select("source_row_id", "target_row_id").unionByName(rest.select("source_row_id", "target_row_id"))
 
 
 def _unit_ok(clause: str, unit: Column) -> Column:
@@ -85,7 +88,7 @@ def rule_pairs(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> Da
     )
 
 
-@F.pandas_udf("decimal(8,6)")
+@F.pandas_udf(DecimalType(8, 6))
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Twice the characters in matching blocks over all characters (longest block first, both sides recursively)."""
     from decimal import Decimal
