@@ -162,6 +162,7 @@ def optimal_packages(families: DataFrame, compatible: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["boundary", "family_id", "package"])
 
     kind = dict(families.dtypes)
+    families, compatible = families.alias("f").toDF(*families.columns), compatible.alias("c").toDF(*compatible.columns)
     return families.groupBy("boundary").cogroup(compatible.groupBy("boundary")).applyInPandas(solve, f"boundary {kind['boundary']}, family_id {kind['family_id']}, package int")
 
 

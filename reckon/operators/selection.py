@@ -61,7 +61,7 @@ def score(r: Request) -> dict[str, Column]:
     flag = lambda when, points: F.when(when, points).otherwise(0)
     return {
         "index_points": F.lit(p["exact_index"]), "period_points": period, "type_points": types,
-        "revision_points": F.coalesce(F.least(c("revision_number") * p["revision_step"], F.lit(p["revision_most"])), F.lit(0)).cast("int"),
+        "revision_points": F.when(c("revision_number").isNull(), 0).otherwise(F.least(c("revision_number") * p["revision_step"], F.lit(p["revision_most"]))).cast("int"),
         "final_points": flag(c("is_final") & ~conflict, p["final"]), "approved_points": flag(c("is_approved") & ~conflict, p["approved"]),
         "copy_points": flag(c("is_probable_copy"), p["copy"]), "outdated_points": flag(c("is_probably_outdated"), p["outdated"]), "draft_points": flag(c("is_draft"), p["draft"]),
     }
