@@ -29,9 +29,9 @@ def contains_mask(text: Column, mask: str) -> Column:
     if not words:
         return F.lit(False)
     phrase = text.rlike("(?iu)(?<![0-9a-zа-я])" + "[^0-9a-zа-я]+".join(re.escape(w) for w in words))
-    if len(words) > 1:
+    if len(words) > 1 or len(words[0]) < 6:
         return phrase
-    near = lambda t: t.startswith(words[0]) | ((F.length(t) >= 6) & (F.levenshtein(t, F.lit(words[0]), 1) >= 0) if len(words[0]) >= 6 else F.lit(False))
+    near = lambda t: (F.length(t) >= 6) & (F.levenshtein(t, F.lit(words[0]), 1) >= 0)
     return phrase | F.exists(tokens(text), near)
 
 
