@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckon.functions.numeric import MONEY
-from reckon.operators.dedup import latest, ordered_distinct
+from reckon.operators.dedup import latest
 
 #: Performed cost may exceed the contract's by this; rows excluded as hierarchy may be this share.
 CONTRACT_TOLERANCE = 1000
@@ -87,19 +87,25 @@ def aggregate(rows: DataFrame) -> DataFrame:
     q = (F.col("quantity_decision") == "include") & F.col("quantity").isNotNull()
     c = (F.col("cost_decision") == "include") & F.col("cost").isNotNull()
     unit = F.when(q, F.nullif("unit", F.lit("")))
-    kept = rows.filter("category is not null and object_index <> '' and drawing_key <> ''")
-    out = kept.groupBy("object_index", "drawing_key", "category").agg(
-        F.count_distinct(unit).alias("n_units"), F.min(unit).alias("u"), F.sum(F.when(q, F.col("quantity").cast(MONEY))).alias("q"), F.sum(F.when(c, F.col("cost").cast(MONEY))).alias("c"),
-        F.count_if(q).alias("n_quantity_rows"), F.count_if(c).alias("n_cost_rows"),
-        F.min_by(F.when(q, F.col("rule_id")), F.when(q & F.col("rule_id").isNotNull(), F.col("seq"))).alias("quantity_rule_id"),
-        F.min(F.when(q, F.col("confidence"))).alias("quantity_confidence"),
-        ordered_distinct(F.col("seq"), F.when(q, F.col("strategy"))).alias("quantity_strategies"),
-        F.bool_or((F.col("quantity_decision") == "review") | (F.col("cost_decision") == "review")).alias("reviewed"),
+    # Rows without a category go by an aggregate: a filter on the key itself moves below and computes the rules again.
+    kept = rows.filter("object_index <> '' and drawing_key <> ''")
+    key = ["object_index", "drawing_key", "category"]
+    # By strategy first: the ordered strategies are then gathered from a few rows a group, not from all of its rows.
+    part = kept.groupBy(*key, "strategy").agg(
+        F.max("category").alias("there"),
+        F.min(unit).alias("u"), F.max(unit).alias("v"), F.sum(F.when(q, F.col("quantity").cast(MONEY))).alias("q"), F.sum(F.when(c, F.col("cost").cast(MONEY))).alias("c"),
+        F.count_if(q).alias("nq"), F.count_if(c).alias("nc"), F.min(F.when(q & F.col("rule_id").isNotNull(), F.struct("seq", "rule_id"))).alias("rule"), F.min(F.when(q, F.col("confidence"))).alias("sure"),
+        F.min(F.when(q, F.col("seq"))).alias("first"), F.bool_or((F.col("quantity_decision") == "review") | (F.col("cost_decision") == "review")).alias("r"),
     )
-    mixed = F.col("n_units") > 1
+    strategies = F.array_sort(F.collect_list(F.when(F.col("first").isNotNull() & F.col("strategy").isNotNull(), F.struct("first", "strategy"))))
+    out = part.filter("there is not null").groupBy(*key).agg(
+        F.max("there").alias("there"), F.min("u").alias("u"), F.max("v").alias("v"), F.sum("q").alias("q"), F.sum("c").alias("c"), F.sum("nq").alias("n_quantity_rows"), F.sum("nc").alias("n_cost_rows"), F.min("rule").alias("rule"),
+        F.min("sure").alias("quantity_confidence"), F.transform(strategies, lambda x: x["strategy"]).alias("quantity_strategies"), F.bool_or("r").alias("reviewed"),
+    ).withColumn("quantity_rule_id", F.col("rule.rule_id"))
+    mixed = F.coalesce(F.col("u") != F.col("v"), F.lit(False))
     quantity = F.when(mixed, F.lit(None)).otherwise(F.coalesce("q", F.when(F.col("c").isNotNull(), F.lit(0))))
     return out.select(
-        "object_index", "drawing_key", "category", F.when(F.col("n_units") == 1, F.col("u")).alias("unit"), quantity.cast(MONEY).alias("quantity"), F.col("c").cast(MONEY).alias("total_cost"),
+        "object_index", "drawing_key", F.col("there").alias("category"), F.when(~mixed, F.col("u")).alias("unit"), quantity.cast(MONEY).alias("quantity"), F.col("c").cast(MONEY).alias("total_cost"),
         "n_quantity_rows", "n_cost_rows", "quantity_rule_id", "quantity_confidence", "quantity_strategies",
         (mixed | F.col("reviewed")).alias("requires_review"), F.when(mixed, "UNIT_MISMATCH").when(F.col("reviewed"), "WARNING").otherwise("OK").alias("status"),
     )

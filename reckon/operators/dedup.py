@@ -43,10 +43,14 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *(F.col("_b")[c].alias(c) for c in rest))
 
 
-def ordered_distinct(order: Column, value: Column) -> Column:
-    """Aggregate: distinct non-null values by first appearance in `order`."""
-    rows = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
-    return F.array_distinct(F.transform(rows, lambda x: x["v"]))
+def ordered_distinct(df: DataFrame, keys: Sequence[str], order: Column, value: str, name: str) -> DataFrame:
+    """keys and `name`: the group's distinct non-null values by first appearance in `order` (ties by value).
+
+    Values are made distinct before a group is gathered, so an array holds distinct values only, however many rows.
+    """
+    first = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_o"))
+    rows = F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("v"))))
+    return first.groupBy(*keys).agg(F.transform(rows, lambda x: x["v"]).alias(name))
 
 
 def collision_count(df: DataFrame, key: str) -> DataFrame:

@@ -70,12 +70,16 @@ def diagnostics(rows: DataFrame, entity_type: str, id_col: str, warnings_col: st
 def snapshot_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n and a digest that does not depend on row order or partitioning.
 
-    Rows are hashed as JSON with sorted columns, dealt into buckets by the hash's first three digits, hashed within each bucket in order, and the
-    buckets' hashes are hashed in order: 4096 short hashes at most meet in one task.
+    Rows are hashed as JSON with sorted columns; the hashes are hashed together, in order, by their first six digits,
+    those by three, those at last: no group gathers more than 4096 hashes or a sixteen-millionth of the rows.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256).alias("h")
-    per = rows.select(row).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
-    return per.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "d"))), "\n"), 256).alias("digest"))
+    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    level = rows.select(F.lit(1).cast("long").alias("n"), row.alias("h"), row.alias("b"))
+    for digits in (6, 3, 0):
+        prefix = F.substring("b", 1, digits) if digits else F.lit("")
+        both = F.array_sort(F.collect_list(F.concat_ws(":", "b", "h")))
+        level = level.groupBy(prefix.alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(both, "\n"), 256).alias("h"))
+    return level.select("n", F.col("h").alias("digest"))
 
 
 def export(rows: DataFrame, path: str, fmt: str = "json") -> None:

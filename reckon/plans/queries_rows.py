@@ -77,7 +77,7 @@ def d6_latest_records(spark, sf):
 SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY o, l_returnflag) AS flags FROM g GROUP BY 1""")
 def d4_ordered_distinct(spark, sf):
     order = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), c("l_linenumber").cast("string"))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(dedup.ordered_distinct(order, c("l_returnflag")), ",").alias("flags"))
+    return dedup.ordered_distinct(table(spark, sf, "lineitem"), ["l_orderkey"], order, "l_returnflag", "flags").withColumn("flags", F.array_join("flags", ","))
 
 
 @query("SELECT CAST(sum(n - 1) AS BIGINT) AS collisions FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
