@@ -29,9 +29,9 @@ def plain_id(*values: Column) -> Column:
 
 def json_string(value: Column) -> Column:
     """A JSON string literal; null is null."""
-    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-    for raw, short in (("\n", r"\\\\n"), ("\r", r"\\\\r"), ("\t", r"\\\\t")):
-        text = F.regexp_replace(text, raw, short)
+    text = value.cast("string")
+    for raw, short in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(short))
     return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
 
 

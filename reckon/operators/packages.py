@@ -122,22 +122,28 @@ def partition(sizes: list[int], compatible: set[tuple[int, int]], most_families:
         atoms = sum(sizes[i] for i in group)
         return len(group) <= most_families and atoms <= most_atoms and atoms * (atoms - 1) // 2 <= MOST_PAIRS
 
+    def spend() -> None:
+        nonlocal steps
+        if (steps := steps + 1) > MOST_STATES:
+            raise RuntimeError("exact partition exceeds its search budget")
+
     def groups(first: int, rest: list[int]):
         found = [(first,)]
         for i in rest:
-            found += [(*g, i) for g in found if all((j, i) in compatible for j in g) and fits((*g, i))]
+            for g in found[:]:
+                spend()
+                if all((j, i) in compatible for j in g) and fits((*g, i)):
+                    found.append((*g, i))
         return found
 
     def solve(left: int) -> tuple[int, tuple]:
-        nonlocal steps
         if left in known:
             return known[left]
         first = (left & -left).bit_length() - 1
         rest = [i for i in range(first + 1, len(sizes)) if left >> i & 1 and (first, i) in compatible]
         best = None
         for g in groups(first, rest):
-            if (steps := steps + 1) > MOST_STATES:
-                raise RuntimeError("exact partition exceeds its search budget")
+            spend()
             n, tail = solve(left & ~sum(1 << i for i in g))
             if best is None or (n + 1, (g, *tail)) < best:
                 best = (n + 1, (g, *tail))

@@ -157,7 +157,7 @@ def classify_sheets(sheets: DataFrame, name_rules: DataFrame, signatures: DataFr
     alone: 0.85 or 0.90 of it. Strong but different tops are a conflict; under 0.28 the type is unknown.
     """
     key = SHEET
-    names = sheets.join(F.broadcast(name_rules), F.col("name").rlike(F.col("pattern"))).groupBy(*key, "sheet_type").agg(F.max("score").alias("ns"))
+    names = sheets.join(F.broadcast(name_rules), F.regexp_like("name", F.col("pattern"))).groupBy(*key, "sheet_type").agg(F.max("score").alias("ns"))
     count = lambda c: F.size(F.filter(c, lambda m: F.col("corpus").contains(m)))
     raw = F.least(count("strong") * 0.34, F.lit(0.68)) + F.least(count("weak") * 0.08, F.lit(0.32)) - F.least(count("negative") * 0.18, F.lit(0.45))
     score = F.round(F.least(F.greatest(F.when(count("strong") == 0, F.least(raw, F.lit(0.58))).otherwise(raw), F.lit(0.0)), F.lit(1.0)), 4)
