@@ -46,3 +46,15 @@ def test_run_equals_the_stages_one_after_another(spark):
         want = stage(spark, want, SF)
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(corpus_pipeline.run(spark, SF).select(key).collect()) == sorted(want.select(key).collect())
+
+
+def test_stages_take_edge_rows_and_empty_tables(spark):
+    good = spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()
+    rows = [tuple(r)[:5] for r in good] + [(None, None, None, None, None), (900, None, "en", None, None), (901, "", None, "s", 0), (902, "word " * 30000, "en", "s", 150000), (903, "a\n\n b", "en", "s", 6), (903, "a\n\n b", "en", "s", 6), (None, good[0].text, "en", "s", 5)]
+    edge = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as sampled", "1 as class_id", "2 as n_removed")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, SF).collect()
+        assert out, name
+        if name == "n-gram Jaccard join":
+            assert sum(r.doc_id == 903 for r in out) == 1
+        assert stage(spark, edge.limit(0), SF).count() == 0, name
