@@ -147,3 +147,13 @@ def test_outcome_check(spark):
     calc = spark.createDataFrame([("a", 1, 2.0, 3.0, True), ("b", 2, 2.0, 3.0, True), ("c", 3, 1.0, 1.0, False), ("d", 9, 1.0, 1.0, True)], "row_id string, target_row_id int, quantity double, cost double, authorized boolean")
     cells = spark.createDataFrame([(1, 2.0, 3.0), (2, 2.0, 4.0), (3, 1.0, 1.0)], "target_row_id int, quantity double, cost double")
     assert {r.row_id: r.reason for r in semantics.outcome_check(calc, cells).collect()} == {"b": "VALUE_MISMATCH", "c": "UNAUTHORIZED", "d": "TARGET_MISSING"}
+
+
+@pytest.mark.parametrize("phrase, want", [
+    ("за период", False), ("отчетный период", True), ("июль 2026", True), ("01 07 2026", True), ("три месяца", True), ("первый этап", True), ("выполненные работы по июль 2026", True), ("монтаж работ", False), ("все работы по", False),
+    ("кабель", False), ("", False), (None, False), ("двадцать пятый день", True), ("красный день", False), ("по по", False), ("накопленные за год", False),
+])
+def test_reporting_scope(spark, phrase, want):
+    from reckon.functions.scope import is_reporting_scope
+
+    assert one(spark, is_reporting_scope(F.col("x")), x=phrase) is want
