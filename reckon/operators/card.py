@@ -169,3 +169,59 @@ def summary(rows: DataFrame, cost_scale: int = 1) -> DataFrame:
     """Per (object_index, category): summed quantity and cost, the unit only if all rows agree on it."""
     out = rows.groupBy("object_index", "category").agg(F.sum("quantity").alias("quantity"), F.sum("total_cost").alias("c"), F.count_distinct("unit").alias("n"), F.count_if(F.col("unit").isNull()).alias("gone"), F.min("unit").alias("u"))
     return out.select("object_index", "category", F.when((F.col("n") == 1) & (F.col("gone") == 0), F.col("u")).alias("unit"), F.col("quantity").cast("decimal(38,6)").alias("quantity"), (F.col("c") / cost_scale).cast("decimal(38,6)").alias("total_cost"))
+
+
+def cascade(rows: DataFrame, rules: dict[str, dict], negative: tuple[str, ...] = (), cost_only: str | None = None, cost_only_category: str | None = None) -> DataFrame:
+    """The whole decision of a row, from evidence that joins have put beside it.
+
+    rows: row_id, text, unit, quantity, cost and evidence: approved_category, approved_action (null without an approval),
+    example_id, example_category, example_unit, example_conflict, formula_unresolved, consensus, consensus_review. In
+    order: an approval; a conflict of examples (review); an exact example, whose quantity needs a fitting unit; an
+    unresolved formula (review); nothing to count; a confirmed negative; a leading cost-only phrase; a stale or conflicting
+    consensus (review); the consensus; the rules. Adds category, strategy, quantity_decision, cost_decision,
+    requires_review.
+    """
+    base = classify(rows, rules, negative)
+    c = F.col
+    unit_fits = F.lit(True)
+    for name, r in rules.items():
+        if r.get("units"):
+            unit_fits = F.when(c("example_category") == name, c("unit").isNull() | c("unit").isin(*r["units"])).otherwise(unit_fits)
+    approved, rejected = c("approved_action").isNotNull(), c("approved_action").isin("reject", "skip")
+    exact = c("example_id").isNotNull()
+    same_unit = c("example_unit").isNull() | c("example_unit").eqNullSafe(c("unit")) | c("example_category").isNull()
+    idle, minus = c("strategy") == "deterministic_no_impact", c("strategy") == "deterministic_negative"
+    coupling = c("text").rlike(cost_only) if cost_only else F.lit(False)
+    priced = F.coalesce(c("cost") > 0, F.lit(False))
+    ladder = [
+        (approved, "manual_review"), (F.coalesce("example_conflict", F.lit(False)), "review"), (exact & ~unit_fits, "review_unit"), (exact & same_unit, "confirmed_dictionary"), (exact, "review"),
+        (F.coalesce("formula_unresolved", F.lit(False)), "review"), (idle, "deterministic_no_impact"), (minus, "deterministic_negative"), (coupling & priced, "deterministic_cost_only"), (coupling, "review"),
+        (F.coalesce("consensus_review", F.lit(False)), "review"), (c("consensus").isNotNull(), "machine_consensus_exact"),
+    ]
+    step = F.lit(None).cast("string")
+    for when, name in reversed(ladder):
+        step = F.when(when, F.lit(name)).otherwise(step)
+    out = base.withColumn("_s", step)
+    s = c("_s")
+    filled = lambda x: F.coalesce(c(x) != 0, F.lit(False))
+    category = (
+        F.when(s == "manual_review", F.when(~rejected, c("approved_category"))).when(s.isin("confirmed_dictionary", "review_unit"), c("example_category")).when(s == "deterministic_cost_only", F.lit(cost_only_category))
+        .when(s == "machine_consensus_exact", c("consensus")).when(s.isNull(), c("category"))
+    )
+    given = lambda x, only: F.when(rejected, "exclude").when(c("approved_action").isin("approve", "change_category", only), "include").otherwise("exclude")
+    known = lambda x: F.when(category.isNull(), "exclude").when(filled(x), "include").otherwise("exclude")
+    pick = lambda x, only: (
+        F.when(s == "manual_review", given(x, only)).when(s == "review", "review").when(s == "review_unit", "review" if x == "quantity" else known(x)).when(s.isin("confirmed_dictionary", "machine_consensus_exact"), known(x))
+        .when(s == "deterministic_cost_only", "exclude" if x == "quantity" else "include").when(s.isNotNull(), "exclude").otherwise(c(f"{x}_decision"))
+    )
+    q, v = pick("quantity", "quantity_only"), pick("cost", "cost_only")
+    keep = [x for x in rows.columns]
+    return out.select(*keep, category.alias("category"), F.when(s == "review_unit", "review").otherwise(F.coalesce(s, c("strategy"))).alias("strategy"), q.alias("quantity_decision"), v.alias("cost_decision"), ((q == "review") | (v == "review")).alias("requires_review"))
+
+
+def validate_cards(rows: DataFrame, published: DataFrame) -> DataFrame:
+    """(object_index, category, error) where a published summary differs from its rows or one side is missing."""
+    own = summary(rows).select("object_index", "category", F.struct("unit", "quantity", "total_cost").alias("a"))
+    out = own.join(published.select("object_index", "category", F.struct("unit", "quantity", "total_cost").alias("b")), ["object_index", "category"], "full_outer")
+    error = F.when(F.col("b").isNull(), "SUMMARY_MISSING").when(F.col("a").isNull(), "SUMMARY_WITHOUT_ROWS").when(~F.col("a").eqNullSafe(F.col("b")), "SUMMARY_DIFFERS")
+    return out.select("object_index", "category", error.alias("error")).filter("error is not null")

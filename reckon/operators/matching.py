@@ -61,29 +61,40 @@ def clause_matches(clause: str, name: Column, unit: Column) -> Column:
     return F.coalesce(hit, F.lit(False)) & _unit_ok(clause, unit) & required & ~forbidden
 
 
+def _listed(rule: str, allowed: str, value: Column) -> Column:
+    return (F.size(F.col(f"{rule}.{allowed}")) == 0) | F.coalesce(F.array_contains(F.col(f"{rule}.{allowed}"), value), F.lit(False))
+
+
+def target_scope(rule: str, object_code: Column, stage: Column, process: Column) -> Column:
+    """An empty list allows any value; otherwise the target's value must be present and listed."""
+    return _listed(rule, "object_scopes", object_code) & _listed(rule, "stages", stage) & _listed(rule, "target_processes", process)
+
+
 def scope_matches(rule: str, object_code: Column, stage: Column, process: Column, unit: Column) -> Column:
-    """An empty list allows any value; otherwise the value must be present and listed."""
-    one = lambda allowed, value: (F.size(F.col(f"{rule}.{allowed}")) == 0) | F.coalesce(F.array_contains(F.col(f"{rule}.{allowed}"), value), F.lit(False))
-    return one("object_scopes", object_code) & one("stages", stage) & one("target_processes", process) & one("scope_units", unit)
+    """A rule's whole scope: the target's part, and the source unit."""
+    return target_scope(rule, object_code, stage, process) & _listed(rule, "scope_units", unit)
 
 
 def rule_pairs(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> DataFrame:
     """Pairs that an approved rule's clause joins, with rule_ids, blockers, manual and confidence.
 
     clauses: the rule table, one row a clause; it is configuration of bounded size (files up to 1 MiB), so it is sent to all
-    executors. Clauses meet sources first and scopes meet targets by their listed names, so a rule without a target
-    scope pairs its sources with all targets, as its meaning demands.
+    executors. Sources meet clauses by name and unit, targets meet them by scope, and the two meet by clause: an
+    equi-join that makes the wanted pairs and no others. A clause with very many sources is a skewed key that adaptive
+    execution splits.
     """
-    live = F.broadcast(clauses.filter("owner_approved and status = 'approved'")).alias("c")
-    hit = sources.alias("s").join(live, clause_matches("c", F.col("s.work_name"), F.col("s.unit")))
-    pairs = hit.join(targets.alias("t"), scope_matches("c", F.col("t.object_code"), F.col("t.stage"), F.col("t.work_name"), F.col("s.unit")))
+    live = clauses.filter("owner_approved and status = 'approved'").withColumn("clause", F.xxhash64(F.to_json(F.struct(*clauses.columns))))
+    live = F.broadcast(live).alias("c")
+    hit = sources.alias("s").join(live, clause_matches("c", F.col("s.work_name"), F.col("s.unit")) & _listed("c", "scope_units", F.col("s.unit"))).select("s.source_row_id", "c.clause", "c.rule_id", "c.action", "c.match_kind")
+    meant = targets.alias("t").join(live, target_scope("c", F.col("t.object_code"), F.col("t.stage"), F.col("t.work_name"))).select("t.target_row_id", "c.clause")
+    pairs = hit.join(meant, "clause")
     sure = F.lit("0").cast(CONFIDENCE)
     for kind, value in RULE_CONFIDENCE.items():
-        sure = F.when(F.col("c.match_kind") == kind, F.lit(value).cast(CONFIDENCE)).otherwise(sure)
-    return pairs.groupBy("s.source_row_id", "t.target_row_id").agg(
-        F.array_sort(F.collect_set("c.rule_id")).alias("rule_ids"),
-        F.array_sort(F.collect_set(F.when(F.col("c.action") == "exclude", F.concat(F.lit("EXCLUDE:"), "c.rule_id")))).alias("blockers"),
-        F.bool_or(F.col("c.action") == "needs_review").alias("manual"),
+        sure = F.when(F.col("match_kind") == kind, F.lit(value).cast(CONFIDENCE)).otherwise(sure)
+    return pairs.groupBy("source_row_id", "target_row_id").agg(
+        F.array_sort(F.collect_set("rule_id")).alias("rule_ids"),
+        F.array_sort(F.collect_set(F.when(F.col("action") == "exclude", F.concat(F.lit("EXCLUDE:"), "rule_id")))).alias("blockers"),
+        F.bool_or(F.col("action") == "needs_review").alias("manual"),
         F.max(sure).alias("rule_confidence"),
     )
 

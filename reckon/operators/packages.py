@@ -195,3 +195,15 @@ def brute_partition_size(n: int, compatible: set[tuple[int, int]]) -> int:
                     for tail in parts([i for i in rest if i not in g]):
                         yield [group, *tail]
     return min(len(p) for p in parts(list(range(n))))
+
+
+def discover(files: DataFrame, workbooks: tuple[str, ...] = (".xlsx", ".xlsm", ".ods"), evidence: tuple[str, ...] = (".pdf",)) -> DataFrame:
+    """Package roots (first folder below the source) with their workbooks and evidence files, and what is missing.
+
+    files: relative_path, extension.
+    """
+    root = F.when(F.col("relative_path").contains("/"), F.substring_index("relative_path", "/", 1)).otherwise(".")
+    of = lambda kinds: F.array_sort(F.collect_list(F.when(F.col("extension").isin(*kinds), F.col("relative_path"))))
+    out = files.groupBy(root.alias("package")).agg(of(workbooks).alias("workbooks"), of(evidence).alias("documents"))
+    issue = F.when(F.size("workbooks") == 0, "WORKBOOK_MISSING").when(F.size("documents") == 0, "EVIDENCE_MISSING")
+    return out.withColumn("issue", issue)

@@ -264,3 +264,66 @@ def test_rule_configuration():
         with pytest.raises(ValueError):
             files.rule_configuration(bad)
     assert files.canonical_json({"b": 1, "a": "ё"}) == '{"a":"ё","b":1}'
+
+
+def test_cascade_order(spark):
+    schema = "row_id string, text string, unit string, quantity double, cost double, approved_category string, approved_action string, example_id string, example_category string, example_unit string, example_conflict boolean, formula_unresolved boolean, consensus string, consensus_review boolean"
+    blank = dict.fromkeys([c.split()[0] for c in schema.split(", ")])
+
+    def row(i, **kw):
+        return tuple({**blank, "row_id": i, "text": "blue cable", "unit": "m", "quantity": 1.0, "cost": 2.0, **kw}.values())
+
+    rows = [
+        row("approved", approved_category="a", approved_action="cost_only"), row("rejected", approved_action="reject"), row("conflict", example_conflict=True), row("example", example_id="e", example_category="blue", example_unit="m"),
+        row("example unit", example_id="e", example_category="blue", example_unit="t", unit="t"), row("formula", formula_unresolved=True), row("idle", quantity=0.0, cost=None), row("negative", text="red bolt"), row("coupling", text="муфта кабельная"),
+        row("coupling free", text="муфта кабельная", cost=0.0), row("stale", consensus_review=True), row("consensus", consensus="z"), row("rules"), row("none", text="nothing"),
+    ]
+    got = {r.row_id: (r.category, r.strategy, r.quantity_decision, r.cost_decision, r.requires_review) for r in card.cascade(spark.createDataFrame(rows, schema), {"blue": {"any": ("blue",), "units": ("m",)}}, ("red bolt",), "^муфт", "cable").collect()}
+    assert got == {
+        "approved": ("a", "manual_review", "exclude", "include", False), "rejected": (None, "manual_review", "exclude", "exclude", False), "conflict": (None, "review", "review", "review", True),
+        "example": ("blue", "confirmed_dictionary", "include", "include", False), "example unit": ("blue", "review", "review", "include", True), "formula": (None, "review", "review", "review", True),
+        "idle": (None, "deterministic_no_impact", "exclude", "exclude", False), "negative": (None, "deterministic_negative", "exclude", "exclude", False), "coupling": ("cable", "deterministic_cost_only", "exclude", "include", False),
+        "coupling free": (None, "review", "review", "review", True), "stale": (None, "review", "review", "review", True), "consensus": ("z", "machine_consensus_exact", "include", "include", False),
+        "rules": ("blue", "deterministic_rules", "include", "include", False), "none": (None, "deterministic_irrelevant", "exclude", "exclude", False),
+    }
+
+
+def test_card_validation(spark):
+    rows = spark.createDataFrame([("1", "a", "m", Decimal(1), Decimal(2)), ("1", "a", "m", Decimal(3), Decimal(4)), ("2", "a", "m", None, Decimal(1))], "object_index string, category string, unit string, quantity decimal(20,6), total_cost decimal(20,6)")
+    good = card.summary(rows)
+    assert card.validate_cards(rows, good).count() == 0
+    bad = good.filter("object_index = '1'").withColumn("quantity", F.col("quantity") + 1).unionByName(good.filter("object_index = '2'").withColumn("object_index", F.lit("3")))
+    assert {(r.object_index, r.error) for r in card.validate_cards(rows, bad.select(good.columns).withColumn("quantity", F.col("quantity").cast("decimal(38,6)"))).collect()} == {("1", "SUMMARY_DIFFERS"), ("2", "SUMMARY_MISSING"), ("3", "SUMMARY_WITHOUT_ROWS")}
+
+
+def test_package_discovery(spark):
+    df = spark.createDataFrame([("p1/a.xlsx", ".xlsx"), ("p1/x/b.pdf", ".pdf"), ("p2/c.pdf", ".pdf"), ("p3/d.ods", ".ods")], "relative_path string, extension string")
+    assert {r.package: (r.workbooks, r.documents, r.issue) for r in packages.discover(df).collect()} == {"p1": (["p1/a.xlsx"], ["p1/x/b.pdf"], None), "p2": ([], ["p2/c.pdf"], "WORKBOOK_MISSING"), "p3": (["p3/d.ods"], [], "EVIDENCE_MISSING")}
+
+
+def test_run_ledger(spark, tmp_path):
+    from reckon.plans import ledger
+
+    key = ledger.run_key({"a": "1"}, {"v": "1"}, {"k": [1, 2]})
+    assert key == ledger.run_key({"a": "1"}, {"v": "1"}, {"k": [1, 2]}) != ledger.run_key({"a": "2"}, {"v": "1"}, {"k": [1, 2]})
+    path = f"{tmp_path}/ledger"
+    assert ledger.finished(spark, path, key) is None
+    ledger.record(spark, path, key, "STARTED", "")
+    assert ledger.finished(spark, path, key) is None
+    ledger.record(spark, path, key, "DONE", "out")
+    assert ledger.finished(spark, path, key) == "out"
+
+
+def test_rule_payloads(spark):
+    from reckon.functions import rules
+
+    clause = {"action": "include", "match_kind": "contains", "literal": " Pipe "}
+    good = {"rules": [{"rule_id": "r", "status": "approved", "owner_approved": True, "stages": ["main"], "clauses": [clause, {**clause, "action": "exclude", "include_cost": False}]}]}
+    assert rules.issues(good) == []
+    got = rules.clause_table(spark, good).orderBy("clause_index").collect()
+    assert [(r.clause_index, r.literal, r.stages, r.include_cost) for r in got] == [(0, "pipe", ["main"], True), (1, "pipe", ["main"], False)]
+    assert rules.issues([]) and rules.issues({"rules": [{"rule_id": ""}]})
+    twice = {"rules": [{**good["rules"][0], "exclusive": True}, {**good["rules"][0], "rule_id": "s", "exclusive": True}, {**good["rules"][0]}]}
+    assert len(rules.issues(twice)) == 2
+    with pytest.raises(ValueError):
+        rules.clause_table(spark, {"rules": [{"rule_id": "r", "status": "x", "clauses": []}]})
