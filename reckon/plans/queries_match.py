@@ -233,11 +233,11 @@ def a26_source_reuse(spark, sf):
     return quality_gate.source_reuse(table(spark, sf, "lineitem").select(c("l_partkey").alias("source_row_id"), c("l_orderkey").alias("target_row_id")))
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 5 <> 0 AND o_orderkey % 2 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS match_result_id, CASE WHEN b.n IS NULL THEN 'MISSING_CALCULATION' WHEN a.n IS NULL THEN 'ORPHAN_CALCULATION' ELSE 'CARDINALITY_MISMATCH' END AS code FROM a FULL JOIN b ON a.k = b.k WHERE b.n IS NULL OR a.n IS NULL OR b.n > 1""")
 def j9_cardinality(spark, sf):
-    o = table(spark, sf, "orders").select(c("o_custkey").alias("match_result_id"), "o_orderkey")
-    return quality_gate.cardinality(o.filter("match_result_id % 3 <> 0"), o.filter("match_result_id % 5 <> 0 and o_orderkey % 2 = 0"))
+    o = table(spark, sf, "orders").select(c("o_custkey").alias("match_result_id"), "o_orderstatus", "o_orderpriority")
+    return quality_gate.cardinality(o.filter("o_orderstatus <> 'P'"), o.filter("o_orderpriority = '1-URGENT'"))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS m FROM lineitem WHERE l_linenumber < 4), r AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS m FROM lineitem WHERE l_linenumber < 5 AND l_orderkey % 3 = 0 OR l_linenumber < 4),
