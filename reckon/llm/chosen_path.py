@@ -2,16 +2,19 @@
 
 Texts with the same set form one class from the start; its set stands for all. Every set is embedded as min-hash
 tokens. A run lets each set follow those of its tokens whose run-specific hash is under 1/(threshold * tokens),
-so sets that share tokens follow the same ones; a node with few sets is compared by brute force, exactly, on the
-sets themselves. A larger node is split again by other sampled tokens, and at the last level dealt into blocks that
-all hold the node's smallest set besides. Runs repeat until a pair at the threshold is missed with less than
-1 - recall. Linked classes are then joined by connected components.
+so sets that share tokens follow the same ones. A node with more than a few sets is split again by other sampled
+tokens; nodes that stay are leaves, and every two sets of a leaf are compared: a leaf too large for one task is dealt
+into blocks, and every block meets every other. Of the leaves that two sets share the smallest alone counts the pair,
+so each pair counts once; it is compared by min-hash tokens first, then exactly, on the sets themselves. There are
+as many runs as a pair at the threshold needs to stay together through all levels with probability recall. Linked
+classes are then joined by connected components.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +30,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 TOKENS = 32
-#: Sets that are compared by brute force, and levels of splitting before larger nodes are dealt into blocks.
+#: Sets of a node that is not split, levels of splitting, and sets of a block of a larger leaf.
 BUCKET = 48
 LEVELS = 3
+BLOCK = 256
 _WORDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,6 +77,14 @@ def signature(sets: np.ndarray, tokens: int = TOKENS) -> np.ndarray:
     return mix(out + seeds)
 
 
+def first_nodes(sig: np.ndarray, runs: int, threshold: float) -> list[int]:
+    """The children of the roots 0 to runs - 1, at once."""
+    roots = np.arange(runs, dtype=np.uint64)[:, None]
+    h = mix(sig[None, :] ^ mix(roots + _ODD))
+    run, at = np.nonzero(h < np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(sig))))))
+    return mix(h[run, at] + roots[run, 0]).view(np.int64).tolist()
+
+
 def children(sig: np.ndarray, node: int, threshold: float) -> list[int]:
     """The nodes that a set goes on to from a node: one for each of its tokens sampled there."""
     h = mix(sig ^ mix(np.array([node & (2**64 - 1)], dtype=np.uint64) + _ODD))
@@ -80,6 +92,11 @@ def children(sig: np.ndarray, node: int, threshold: float) -> list[int]:
     return mix(picked + np.uint64(node & (2**64 - 1))).view(np.int64).tolist()
 
 
+def shared_odds(threshold: float, tokens: int) -> list[float]:
+    """Probability that a pair at the threshold shares 0, 1, ... tokens."""
+    return [math.comb(tokens, x) * threshold**x * (1 - threshold) ** (tokens - x) for x in range(tokens + 1)]
+
+
 def runs_for(threshold: float, recall: float) -> int:
     """Runs after which a pair at the threshold has shared a sampled token with the wanted probability.
 
@@ -88,21 +105,47 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(-math.log(1 - recall)))
 
 
-def similar(members: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs i < j of sets with Jaccard similarity >= threshold, exactly; dense products over slices of the tokens."""
+def least_agreeing(threshold: float, recall: float, tokens: int = TOKENS) -> int:
+    """Shared tokens under which a pair at the threshold lies with less than a hundredth of 1 - recall."""
+    return int((np.cumsum(shared_odds(threshold, tokens)) < (1 - recall) / 100).sum())
+
+
+def owned(nodes: list[np.ndarray], node: int) -> np.ndarray:
+    """Matrix: whether two sets that share the node share no smaller one."""
+    flat = np.concatenate(nodes)
+    owner = np.repeat(np.arange(len(nodes)), [len(n) for n in nodes])[flat < node]
+    names, at = np.unique(flat[flat < node], return_inverse=True)
+    grid = np.zeros((len(nodes), len(names)), dtype=np.float32)
+    grid[owner, at] = 1
+    return grid @ grid.T == 0
+
+
+def to_compare(nodes: list[np.ndarray], node: int, halves: np.ndarray) -> np.ndarray:
+    """Matrix of the pairs i < j that count here; halves: 0 for a block against itself, 1 and 2 for two blocks."""
+    return np.triu(owned(nodes, node) & ((halves[:, None] != halves) | (halves == 0)), 1)
+
+
+def similarities(members: list[np.ndarray]) -> np.ndarray:
+    """Matrix of exact Jaccard similarities; dense products over slices of the tokens."""
     sizes = np.array([len(m) for m in members], dtype=float)
     _, at = np.unique(np.concatenate(members), return_inverse=True)
     owner = np.repeat(np.arange(len(members)), sizes.astype(int))
     shared = np.zeros((len(members), len(members)))
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 65536):
-        a, b = np.searchsorted(at, [low, low + 65536])
-        grid = np.zeros((len(members), min(65536, int(at[-1]) + 1 - low)), dtype=np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 16384):
+        a, b = np.searchsorted(at, [low, low + 16384])
+        grid = np.zeros((len(members), min(16384, int(at[-1]) + 1 - low)), dtype=np.float32)
         grid[owner[a:b], at[a:b] - low] = 1
         shared += grid @ grid.T
-    jaccard = shared / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
-    i, j = np.nonzero(np.triu(jaccard >= threshold, 1))
+    return shared / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
+
+
+def similar(members: list[np.ndarray], threshold: float, wanted: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Pairs i < j of sets with Jaccard similarity >= threshold, exactly; of those wanted (a matrix) if given."""
+    jaccard = similarities(members)
+    found = np.triu(jaccard >= threshold, 1)
+    i, j = np.nonzero(found if wanted is None else found & wanted)
     return list(zip(i.tolist(), j.tolist(), jaccard[i, j].tolist()))
 
 
@@ -125,59 +168,98 @@ def forest(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
 
 
 def embedded(rows: DataFrame, k: int, threshold: float, runs: int) -> DataFrame:
-    """doc_id, key (of the set; null without words), sig, nodes of the first level."""
+    """doc_id, key (of the set; null without words), sig, marks (a byte of each token), nodes of the first level."""
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHash()
         for batch in batches:
             for b in (batch.iloc[i : i + 2000] for i in range(0, len(batch), 2000)):
-                keys, sigs, nodes = [], [], []
+                keys, sigs, marks, nodes = [], [], [], []
                 for text in b["text"]:
                     s = shingles(text, words, k)
                     sig = signature(s) if len(s) else s
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sigs.append(sig.tobytes() if len(s) else None)
-                    nodes.append([n for r in range(runs) for n in children(sig, r, threshold)] if len(s) else [])
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": keys, "sig": sigs, "nodes": nodes})
+                    marks.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+                    nodes.append(first_nodes(sig, runs, threshold) if len(s) else [])
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": keys, "sig": sigs, "marks": marks, "nodes": nodes})
 
-    return rows.mapInPandas(embed, "doc_id long, key binary, sig binary, nodes array<long>")
+    return rows.mapInPandas(embed, "doc_id long, key binary, sig binary, marks binary, nodes array<long>")
 
 
-def buckets(sets: DataFrame, threshold: float, bucket: int, levels: int) -> DataFrame:
-    """(members, whole): the distinct member lists to compare; whole is false for a block of a larger node."""
+def leaves(sets: DataFrame, threshold: float, bucket: int, levels: int) -> DataFrame:
+    """(node, n, key): the sets of the nodes that are not split any more, each node with n > 1 sets."""
     found = []
-    frontier = sets.select("key", F.explode("nodes").alias("node"))
+    frontier = sets.select("key", F.explode("nodes").alias("node")).distinct()
     for level in range(1, levels + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).filter("n > 1")
-        active = cut(frontier.join(sizes, "node"))
-        found.append(active.filter(F.col("n") <= bucket).select("node", "key", F.lit(True).alias("whole")))
+        sizes = frontier.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        active = cut(frontier.join(sizes, "node").select("node", "n", "key"))
+        found.append(active.filter((F.col("n") <= bucket) | F.lit(level == levels)))
         large = active.filter(F.col("n") > bucket)
-        if large.isEmpty():
+        if level == levels or large.isEmpty():
             break
-        if level == levels:
-            block = F.xxhash64("node", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (bucket - 1)).cast("long")))
-            dealt = large.select(block.alias("node"), "key", "pivot")
-            found.append(dealt.select("node", "key", F.lit(False).alias("whole")))
-            found.append(dealt.groupBy("node").agg(F.min("pivot").alias("key")).select("node", "key", F.lit(False).alias("whole")))
-        else:
-
-            def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    kids = [children(np.frombuffer(s, dtype=np.uint64), n, threshold) for s, n in zip(b["sig"], b["node"])]
-                    yield pd.DataFrame({"key": b["key"], "nodes": kids})
-
-            frontier = large.join(sets.select("key", "sig"), "key").select("key", "node", "sig").mapInPandas(split, "key binary, nodes array<long>").select("key", F.explode("nodes").alias("node"))
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                kids = [children(np.frombuffer(s, dtype=np.uint64), n, threshold) for s, n in zip(b["sig"], b["node"])]
+                yield pd.DataFrame({"key": b["key"], "nodes": kids})
+
+        frontier = large.join(sets.select("key", "sig"), "key").select("key", "node", "sig").mapInPandas(split, "key binary, nodes array<long>").select("key", F.explode("nodes").alias("node")).distinct()
     rows = found[0]
     for other in found[1:]:
         rows = rows.unionByName(other)
-    lists = rows.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("members"), F.min("whole").alias("whole")).filter(F.size("members") > 1)
-    return lists.groupBy("members").agg(F.max("whole").alias("whole"))
-
-
-def links(rows: DataFrame, base: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Distinct (a, b, similarity), a < b: verified links between sets that share a bucket."""
-    gid = F.xxhash64("members", "whole")
-    asked = cut(lists.select(gid.alias("gid"), "whole", F.explode("members").alias("key")))
+    return rows
+
+
+def in_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames of the gids of rows that are sorted by gid."""
+    held = []
+    for b in batches:
+        starts = np.flatnonzero(np.append(True, b["gid"].to_numpy()[1:] != b["gid"].to_numpy()[:-1])).tolist() if len(b) else []
+        for low, high in zip(starts, [*starts[1:], len(b)]):
+            part = b.iloc[low:high]
+            if held and held[0]["gid"].iloc[0] != part["gid"].iloc[0]:
+                yield held[0] if len(held) == 1 else pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held)
+
+
+def candidates(sets: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """(gid, node, half, key, nodes): the sets to be compared, by gid; those without a pair that counts there and agrees
+    in `least` tokens are left out. A leaf is one gid; a larger one has a gid for every two of its blocks."""
+    each = rows.groupBy("key").agg(F.collect_set(F.struct("node", "n")).alias("at")).join(sets.select("key", "marks"), "key")
+    each = each.select("key", "marks", F.col("at.node").alias("nodes"), F.explode("at").alias("x")).select("key", "marks", "nodes", "x.node", F.ceil(F.col("x.n") / BLOCK).cast("long").alias("blocks"))
+    each = each.withColumn("own", F.pmod(F.xxhash64("key", "node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    gid = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, n = [], 0
+        for g in in_groups(batches):
+            if len(g) > 1:
+                marks = np.stack([np.frombuffer(x, dtype=np.uint8) for x in g["marks"]])
+                wanted = to_compare(g["nodes"].tolist(), g["node"].iloc[0], g["half"].to_numpy())
+                if wanted.any():
+                    wanted &= (marks[:, None] == marks[None]).sum(axis=2) >= least
+                    keep = wanted.any(axis=0) | wanted.any(axis=1)
+                    if keep.any():
+                        out.append(g.drop(columns="marks")[keep])
+                        n += len(out[-1])
+            if n >= 5000:
+                yield pd.concat(out)
+                out, n = [], 0
+        if out:
+            yield pd.concat(out)
+
+    dealt = each.select(gid.alias("gid"), "node", half.cast("int").alias("half"), "key", "nodes", "marks").repartition("gid").sortWithinPartitions("gid")
+    return dealt.mapInPandas(choose, "gid long, node long, half int, key binary, nodes array<long>")
+
+
+def links(rows: DataFrame, base: DataFrame, asked: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b, n): with b, links that connect all that is linked; without, n links of the set a, to be summed."""
+    asked = cut(asked)
     wanted = asked.select("key").distinct()
     stand = base.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
@@ -191,50 +273,39 @@ def links(rows: DataFrame, base: DataFrame, lists: DataFrame, k: int, threshold:
     bodies = rows.join(stand.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text").mapInPandas(sets, "key binary, set binary").join(wanted, "key").groupBy("key").agg(F.min("set").alias("set"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, keys, held = None, [], []
-
-        def close() -> list[tuple]:
-            pairs = similar(held, threshold) if len(held) > 1 else []
-            return [(*sorted((keys[i], keys[j])), s) for i, j, s in (pairs if now[1] else forest(pairs))]
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["a", "b", "similarity"])
-
-        for b in batches:
-            out = []
-            for g, whole, key, body in zip(b["gid"], b["whole"], b["key"], b["set"]):
-                if (g, whole) != now:
-                    if now is not None:
-                        out += close()
-                    now, keys, held = (g, whole), [], []
-                keys.append(key)
-                held.append(np.frombuffer(body, dtype=np.uint64))
-            if out:
-                yield frame(out)
-        if now is not None:
-            yield frame(close())
-
-    grouped = asked.join(bodies, "key").repartition("gid").sortWithinPartitions("gid", "key")
-    return grouped.select("gid", "whole", "key", "set").mapInPandas(verify, "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        out = []
+        for g in in_groups(batches):
+            pairs = similar([np.frombuffer(x, dtype=np.uint64) for x in g["set"]], threshold, to_compare(g["nodes"].tolist(), g["node"].iloc[0], g["half"].to_numpy()))
+            keys = g["key"].tolist()
+            out += [(keys[i], keys[j], None) for i, j, _ in forest(pairs)]
+            out += [(keys[i], None, n) for i, n in Counter(x for i, j, _ in pairs for x in (i, j)).items()]
+            if len(out) >= 5000:
+                yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"n": "Int64"})
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"n": "Int64"})
+
+    grouped = asked.join(bodies, "key").repartition("gid").sortWithinPartitions("gid")
+    return grouped.select("gid", "node", "half", "key", "nodes", "set").mapInPandas(verify, "a binary, b binary, n long")
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies.
 
     class_id: the smallest doc_id of the texts connected by links (similarity >= threshold). n_links: verified
-    links of the row's set to other sets; in blocks of nodes that no sampling splits, the links that connect the block
-    are listed and not all its pairs. n_copies: rows with the same set. Words are runs of characters other than
+    links of the row's set to other sets, all of them in groups of any size. n_copies: rows with the same set. Words are runs of characters other than
     ASCII white space. A text without words (null, empty, blank) is a class of its own with no links. Null ids are
     kept; a class of null ids only has a null class_id. Rows that repeat id and text stay. Pairs under the threshold are
     never linked; a pair at it is found with probability `recall` or more.
     """
     rows = texts(docs, id_col, text_col)
     base = cut(embedded(rows, k, threshold, runs_for(threshold, recall)))
-    sets = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"), F.min("nodes").alias("nodes"))
+    sets = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"), F.min("marks").alias("marks"), F.min("nodes").alias("nodes"))
     sets = cut(sets)
-    edges = cut(links(rows, base.filter("key is not null").select("doc_id", "key"), buckets(sets, threshold, bucket, levels), k, threshold))
-    degree = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-    labels = components(edges).withColumnRenamed("node", "key")
+    asked = candidates(sets, leaves(sets, threshold, bucket, levels), least_agreeing(threshold, recall))
+    found = cut(links(rows, base.filter("key is not null").select("doc_id", "key"), asked, k, threshold))
+    degree = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
+    labels = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     known = sets.select("key", "rep", "n_copies").join(labels, "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
     lead = known.groupBy("label").agg(F.min("rep").alias("class_id"))
     info = known.join(lead, "label").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")

@@ -81,3 +81,35 @@ def test_similarity_is_exact():
     for i in range(30):
         for j in range(i + 1, 30):
             assert abs(got.get((i, j), 0) - (x if (x := jaccard(sets(texts[i]), sets(texts[j]))) >= 0.01 else 0)) < 1e-9
+
+
+def edited(body, n, rng, word):
+    copy = list(body)
+    for at in rng.sample(range(len(body)), n):
+        copy[at] = word()
+    return copy
+
+
+def test_large_groups_have_all_their_links(spark):
+    """A star (copies like the original, hardly like each other) and a shared template, both far above a bucket."""
+    rng, new = random.Random(8), iter(range(10**9))
+    word = lambda: f"n{next(new)}"
+    star = [word() for _ in range(300)]
+    texts = {0: " ".join(star)} | {i: " ".join(edited(star, 5, rng, word)) for i in range(1, 601)}
+    template = [word() for _ in range(300)]
+    for i in range(2000, 2500, 2):
+        body = edited(template, 7, rng, word)
+        texts[i], texts[i + 1] = " ".join(body), " ".join(edited(body, 3, rng, word))
+    s = {i: sets(t) for i, t in texts.items()}
+    want = {i: 0 for i in texts}
+    for group in (range(601), range(2000, 2500)):
+        for i in group:
+            for j in range(group[0], i):
+                if jaccard(s[i], s[j]) >= 0.8:
+                    want[i] += 1
+                    want[j] += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in cp.jaccard_classes(docs).collect()}
+    assert sum(got[i].class_id != 0 for i in range(601)) <= 3 and want[0] >= 595
+    classes = brute({i: t for i, t in texts.items() if i >= 2000})
+    assert sum(got[i].class_id != classes[i] for i in classes) <= 3
