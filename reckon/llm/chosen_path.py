@@ -97,12 +97,19 @@ def shared_odds(threshold: float, tokens: int) -> list[float]:
     return [math.comb(tokens, x) * threshold**x * (1 - threshold) ** (tokens - x) for x in range(tokens + 1)]
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has shared a sampled token with the wanted probability.
+def runs_for(threshold: float, recall: float, levels: int = LEVELS, tokens: int = TOKENS) -> int:
+    """Runs after which a pair at the threshold has met in a leaf of the last level with probability recall.
 
-    A run samples 1/threshold tokens of a set on average, so a pair shares none with probability about 1/e.
+    A pair that shares x tokens loses each other at a node unless one of the x is sampled and its child does not lose
+    them; all runs see the same x.
     """
-    return max(1, math.ceil(-math.log(1 - recall)))
+    lost = np.zeros(tokens + 1)
+    for _ in range(levels):
+        lost = (1 - (1 - lost) / (threshold * tokens)) ** np.arange(tokens + 1)
+    odds, runs = np.array(shared_odds(threshold, tokens)), 1
+    while (odds * lost**runs).sum() > (1 - recall) * 0.99:  # the rest is for least_agreeing
+        runs += 1
+    return runs
 
 
 def least_agreeing(threshold: float, recall: float, tokens: int = TOKENS) -> int:
@@ -299,7 +306,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     never linked; a pair at it is found with probability `recall` or more.
     """
     rows = texts(docs, id_col, text_col)
-    base = cut(embedded(rows, k, threshold, runs_for(threshold, recall)))
+    base = cut(embedded(rows, k, threshold, runs_for(threshold, recall, levels)))
     sets = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"), F.min("marks").alias("marks"), F.min("nodes").alias("nodes"))
     sets = cut(sets)
     asked = candidates(sets, leaves(sets, threshold, bucket, levels), least_agreeing(threshold, recall))

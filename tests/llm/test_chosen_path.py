@@ -113,3 +113,10 @@ def test_large_groups_have_all_their_links(spark):
     assert sum(got[i].class_id != 0 for i in range(601)) <= 3 and want[0] >= 595
     classes = brute({i: t for i, t in texts.items() if i >= 2000})
     assert sum(got[i].class_id != classes[i] for i in classes) <= 3
+
+
+def test_runs_count_every_level():
+    miss = 0.0
+    for _ in range(cp.LEVELS):
+        miss = (1 - (1 - miss) / cp.TOKENS) ** cp.TOKENS
+    assert miss ** cp.runs_for(cp.THRESHOLD, cp.RECALL) <= 1 - cp.RECALL
