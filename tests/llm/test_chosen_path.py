@@ -110,6 +110,8 @@ def test_large_groups_have_all_their_links(spark):
                     want[j] += 1
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r for r in cp.jaccard_classes(docs).collect()}
+    assert all(got[i].n_links <= want[i] for i in texts)
+    assert sum(r.n_links for r in got.values()) >= 0.995 * sum(want.values())
     assert sum(got[i].class_id != 0 for i in range(601)) <= 3 and want[0] >= 595
     classes = brute({i: t for i, t in texts.items() if i >= 2000})
     assert sum(got[i].class_id != classes[i] for i in classes) <= 3
