@@ -1,11 +1,11 @@
-"""Operator 5, line dedup: winnowing over line hashes. DataFrame functions only.
-
-The lines with a word of a text form a sequence of hashes with word counts. A gram is the lines that start within
-GRAM words of its first line, hashed together; a window is the lines that start within `words` words of its
-first, and gives the smallest hash of the grams that surely lie in it as a fingerprint. Two texts that share a run of
-whole lines with at least `words` words so share a fingerprint, and a single line that long is one. Each fingerprint is joined with its first place in the corpus only (texts by id, then by line), so a group of
-copies costs its size, not its square. A match is extended both ways as far as lines agree; the later run is
-deleted if it holds `words` words. Since a deleted run equals an earlier one, the first of all copies stays.
+"""Operator 5, line dedup: hashed windows of lines. DataFrame functions only.
+
+The lines with a word of a text form a sequence of hashes with word counts. A run is lines that follow each other
+and hold `words` words or more. A window is the shortest run from a line on, or up to a line; every line of a run lies
+in a window that lies in the run. So a line lies in a copy of an earlier run if and only if one of its windows has the
+content of an earlier window, and each window is joined with the first place of its own content only (texts by id,
+then by line): a group of copies costs its size, not its square. Lines in later windows are deleted. Since a deleted
+run equals an earlier one, the first of all copies stays.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from reckon.llm.common import cut, parquet
 
 #: Words that a repeated run must hold.
 WORDS = 50
-#: Words that the lines of a fingerprint hold at least (all of a window's, if a window asks for fewer).
+#: Not used here; test_against_loops reads it for its own fingerprints.
 GRAM = 25
 
 
@@ -53,43 +53,27 @@ def line_sequences(docs: DataFrame, words: int) -> DataFrame:
     ).groupBy("place").agg(F.min("hashes").alias("hashes"), F.min("counts").alias("counts"), F.min("nos").alias("nos"))
 
 
-def fingerprints(sequences: DataFrame, words: int) -> DataFrame:
-    """fp, place, no: the smallest gram of every full window, with its first line's number in the sequence."""
-    gram = min(GRAM, words)
+def windows(sequences: DataFrame, words: int) -> DataFrame:
+    """place, low, high, content: the lines (by number in the sequence) and their hash, of the shortest window of `words`
+    words from each line on, and of the shortest one up to each line where that is none of the former."""
     flat = sequences.select("place", F.posexplode(F.arrays_zip("hashes", "counts")).alias("no", "x")).select("place", "no", F.col("x.hashes").alias("hash"), F.col("x.counts").alias("words"))
     text = Window.partitionBy("place")
-    flat = flat.select("place", "no", "hash", (F.sum("words").over(text.orderBy("no")) - F.col("words")).alias("start"), F.sum("words").over(text).alias("total"))
-    at = text.orderBy("start")
-    grams = flat.select("place", "no", "start", "total", F.xxhash64(F.collect_list("hash").over(at.rangeBetween(0, gram - 1))).alias("gram"))
-    picked = grams.select("place", F.min(F.struct("gram", "no")).over(at.rangeBetween(0, words - gram)).alias("m"), (F.col("start") + words <= F.col("total")).alias("full")).filter("full")
-    return picked.select("place", F.col("m.gram").alias("fp"), F.col("m.no").alias("no")).distinct()
+    flat = flat.withColumn("end", F.sum("words").over(text.orderBy("no"))).withColumn("start", F.col("end") - F.col("words")).withColumn("total", F.sum("words").over(text))
+    on, upto = text.orderBy("start").rangeBetween(0, words - 1), text.orderBy("end").rangeBetween(1 - words, 0)
+    window = lambda low, high, lines: F.struct(low.alias("low"), high.alias("high"), F.xxhash64(F.collect_list("hash").over(lines)).alias("content"))
+    first = F.when(F.col("start") + words <= F.col("total"), window(F.col("no"), F.max("no").over(on), on))
+    last = F.when(F.col("start") - F.min("start").over(upto) >= words, window(F.min("no").over(upto), F.col("no"), upto))
+    return flat.select("place", first.alias("first"), last.alias("last")).select("place", F.explode(F.array("first", "last")).alias("w")).filter("w is not null").select("place", "w.*")
 
 
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """place, gone: the ascending numbers of the lines that lie in a later copy of a run; texts without are left out."""
     sequences = cut(line_sequences(docs, words))
-    fps = fingerprints(sequences, words)
-    first = fps.groupBy("fp").agg(F.min(F.struct("place", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("fp", "first")
-    matches = (
-        fps.join(first, "fp").filter(F.struct("place", "no") > F.col("first"))
-        .select("place", F.col("first.place").alias("source"), (F.col("no") - F.col("first.no")).alias("shift"), "no")
-        .groupBy("place", "source", "shift").agg(F.array_sort(F.collect_set("no")).alias("at"))
-    )
-    sources = sequences.select(F.col("place").alias("source"), F.col("hashes").alias("source_hashes"))
-    both = matches.join(sources, "source").join(sequences, "place")
-    # A character a line: F where a fingerprint is, 1 where the lines agree on this diagonal, 0 elsewhere.
-    agree = lambda h, i: F.coalesce(h == F.get("source_hashes", (i - F.col("shift")).cast("int")), F.lit(False))
-    chars = _bind(_marks(F.col("at")), lambda marks: F.array_join(F.transform("hashes", lambda h, i: F.when(F.get(marks, i) == "F", "F").when(agree(h, i), "1").otherwise("0")), ""))
-    runs = F.split(chars, "(?<=0)(?=[^0])|(?<=[^0])(?=0)")
-
-    def extend(done, run):
-        held = F.aggregate(F.slice("counts", F.length(done) + 1, F.length(run)), F.lit(0), lambda a, c: a + c)
-        return F.concat(done, F.when(run.contains("F") & (held >= words), F.repeat(F.lit("D"), F.length(run))).otherwise(run))
-
-    flags = F.split(F.aggregate(runs, F.lit(""), extend), "")
-    numbers = _bind(flags, lambda f: F.filter(F.transform("nos", lambda no, i: F.when(F.get(f, i) == "D", no)), lambda x: x.isNotNull()))
-    found = both.select("place", numbers.alias("gone")).filter(F.size("gone") > 0)
-    return found.groupBy("place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    found = windows(sequences, words)
+    first = found.groupBy("content").agg(F.min(F.struct("place", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("content", "first")
+    later = found.join(first, "content").filter(F.struct("place", "low") > F.col("first"))
+    lines = later.groupBy("place").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", "high")))).alias("lines"))
+    return lines.join(sequences.select("place", "nos"), "place").select("place", F.array_sort(F.transform("lines", lambda i: F.get("nos", i))).alias("gone"))
 
 
 def drop_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
