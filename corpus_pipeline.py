@@ -31,8 +31,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics come near their target shares."""
-    return mixing.mix(docs).filter("sampled").select(*COLUMNS)
+    """Half of the tokens, sampled so that sources, languages and topics come near their target shares."""
+    return mixing.mix(docs, kept=mixing.KEPT).filter("sampled").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Documents are counted into cells (source, language, topic). Raking scales the cells' token weights to the target
 shares of each dimension in turn, again and again. A cell's raked weight over its weight at first is its
-documents' relative sampling rate; the largest rate becomes probability 1, and a document stays if its hashed id,
-as a number in [0, 1), is under its cell's probability.
+documents' relative sampling rate. With a share of the tokens to keep, a probability is factor * rate, 1 at most, with
+the factor that keeps this share, so a rare cell is kept whole and does not shrink the others; without one, the largest
+rate becomes probability 1. A document stays if its hashed id, as a number in [0, 1), is under its cell's probability.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ SWEEPS = 12
 SENT_CELLS = 20_000
 #: Decimal places of probabilities.
 PLACES = 9
+#: Share of the tokens that the pipeline keeps.
+KEPT = 0.5
 
 
 def n_words(text: Column) -> Column:
@@ -33,11 +36,12 @@ def length_band(words: Column) -> Column:
     return F.when(words < 64, "note").when(words < 256, "short").when(words < 1024, "article").when(words < 4096, "long").otherwise("book")
 
 
-def raked(cells: DataFrame, powers: dict[str, float], sweeps: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def raked(cells: DataFrame, powers: dict[str, float], sweeps: int, targets: dict[str, DataFrame] | None = None, kept: float | None = None) -> DataFrame:
     """cells with share (raked) and probability. cells: DIMENSIONS, tokens (at least 1).
 
     The cells are one small partition, so the windows below need no shuffle. targets: dimension -> (value, weight)
     instead of a power; values without a target get weight 0, and what a dimension's present values have sums to 1.
+    kept: share of the tokens that the probabilities keep; cells of weight 0 are never kept.
     """
     all_rows = Window.partitionBy(F.lit(1))
     out = cells.coalesce(1).withColumn("share", F.col("tokens") / F.sum("tokens").over(all_rows))
@@ -54,15 +58,26 @@ def raked(cells: DataFrame, powers: dict[str, float], sweeps: int, targets: dict
         for name in DIMENSIONS:
             out = out.withColumn("share", F.coalesce(F.try_divide(F.col("share") * F.col(f"want_{name}"), F.sum("share").over(Window.partitionBy(name))), F.lit(0.0)))
     rate = F.col("share") / F.col("first_share")
-    return out.withColumn("probability", F.round(F.try_divide(rate, F.max(rate).over(all_rows)), PLACES)).select(*DIMENSIONS, "tokens", "share", "probability")
-
-
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None, topic: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if kept is None:
+        scaled = F.try_divide(rate, F.max(rate).over(all_rows))
+    else:
+        # With the cells before a row at 1, its factor gives the others the rest; of those that keep the row within 1, the largest.
+        falling = all_rows.orderBy(F.desc("_rate"), *DIMENSIONS)
+        out = out.withColumn("_rate", rate)
+        before = F.sum("tokens").over(falling) - F.col("tokens")
+        rest = F.sum(F.col("_rate") * F.col("tokens")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+        out = out.withColumn("_factor", F.try_divide(F.lit(kept) * F.sum("tokens").over(all_rows) - before, rest))
+        factor = F.max(F.when(F.col("_factor") * F.col("_rate") <= 1, F.greatest("_factor", F.lit(0.0)))).over(all_rows)
+        scaled = F.when(F.col("_rate") > 0, F.least(F.lit(1.0), F.coalesce(factor * F.col("_rate"), F.lit(1.0)))).otherwise(0.0)
+    return out.withColumn("probability", F.round(scaled, PLACES)).select(*DIMENSIONS, "tokens", "share", "probability")
+
+
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None, topic: str | None = None, id_col: str = "doc_id", text_col: str = "text", kept: float | None = None) -> DataFrame:
     """All rows and columns of docs with n_tokens, probability and sampled.
 
     topic: a column of docs; without it the length band stands for it. Nulls in a dimension are the value ''. A
     text without words weighs 1 token, so its cell stays defined; a null id hashes as ''; rows of one id are kept
-    or left together. An empty table gives no rows. Columns of docs with one of the new names are replaced. A hot
+    or left together. kept: share of the tokens to keep (None: as many as leave the highest rate at probability 1). An empty table gives no rows. Columns of docs with one of the new names are replaced. A hot
     source is only a group with partial sums.
     """
     new = ("n_tokens", "probability", "sampled")
@@ -71,7 +86,7 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS
     base = docs.select(*names, n_words(F.col(text_col)).alias("_n"))
     base = base.select(*names, "_n", *(F.coalesce(c, F.lit("")).alias(f"_{k}") for k, c in key.items()))
     cells = cut(base.groupBy(*(F.col(f"_{k}").alias(k) for k in DIMENSIONS)).agg(F.sum(F.greatest("_n", F.lit(1))).alias("tokens")))
-    table = cut(raked(cells, powers, sweeps, targets)).select(*(F.col(k).alias(f"_{k}") for k in DIMENSIONS), "probability")
+    table = cut(raked(cells, powers, sweeps, targets, kept)).select(*(F.col(k).alias(f"_{k}") for k in DIMENSIONS), "probability")
     if cells.count() <= SENT_CELLS:
         table = F.broadcast(table)
     place = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2.0**32

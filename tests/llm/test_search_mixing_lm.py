@@ -47,6 +47,21 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_rare_cell_does_not_shrink_the_sample(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(-1, "word " * 40, "en", "new source", 200), (-2, None, None, None, 0)], docs.schema)
+    cells = mixing.mix(docs.unionByName(odd), kept=0.5)
+    sums = cells.selectExpr("sum(greatest(n_tokens, 1) * probability) k", "sum(greatest(n_tokens, 1)) t").first()
+    assert sums.k / sums.t == pytest.approx(0.5, abs=1e-6)
+    assert {r.probability for r in cells.filter("doc_id < 0").collect()} == {1.0}
+    words = lambda df: df.selectExpr("sum(size(filter(split(text, '[ \\\\t\\\\n]+'), w -> w != '')))").first()[0]
+    assert words(corpus_pipeline.mix_sources(spark, docs.unionByName(odd), "")) > 0.35 * words(docs)
+    for kept in (0.0, 1.0):
+        assert {r.probability for r in mixing.mix(docs, kept=kept).select("probability").distinct().collect()} == {kept}
+
+
 def test_symbols_sum_to_one():
     rng = np.random.default_rng(0)
     unigram = rng.random(bilinear.HEAD + bilinear.CLASSES)
