@@ -4,7 +4,7 @@ The model predicts symbols: the most frequent training words, and classes of all
 bytes. A context is the two symbols before; its vector is the sum of their vectors, weighted by place; a
 symbol's score is that vector's product with the symbol's own, plus a bias. Scores are normalised over all symbols,
 and a class shares its probability among its words by their counts, with a place for unknown words, so the text
-probabilities sum to one. Every training document gives positions all over its text; tasks train on their own
+probabilities sum to one. Every position of every training document is trained on, in batches; tasks train on their own
 documents from the same start, and their parameters are averaged by weight.
 
 Word counts are a table, never gathered: texts are dealt into chunks of bounded size, the distinct words of a chunk
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from reckon.llm.common import cut, parquet, remainder, texts
 
-#: Symbols of single words, classes of the others, vector width, noise samples, positions of a document, batch.
-HEAD, CLASSES, WIDTH, NOISE, POSITIONS, BATCH = 512, 64, 32, 32, 64, 1024
+#: Symbols of single words, classes of the others, vector width, noise samples, batch.
+HEAD, CLASSES, WIDTH, NOISE, BATCH = 512, 64, 32, 32, 1024
+#: Positions that a training task holds and shuffles at a time.
+HELD_POSITIONS = 262_144
 #: Text of a chunk, and least number of chunks.
 CHUNK_BYTES, LEAST_CHUNKS = 12_000_000, 24
 #: Distinct words a counting task holds before it sends them on.
@@ -105,11 +107,31 @@ def train(model: dict[str, np.ndarray], rows: Iterator[np.ndarray], unigram: np.
 
 
 def positions(text: str, symbols: Symbols) -> np.ndarray:
-    """Up to POSITIONS rows of (before, just before, target), spread evenly over the whole text."""
+    """Rows of (before, just before, target), one for every token of the text."""
     found = tokens(text)
-    at = np.unique(np.linspace(0, len(found) - 1, min(POSITIONS, len(found))).astype(int))
-    get = lambda i: symbols[found[i]] if i >= 0 else START
-    return np.array([(get(i - 2), get(i - 1), get(i)) for i in at.tolist()], dtype=np.int64)
+    ids = np.full(len(found) + 2, START, dtype=np.int64)
+    ids[2:] = np.fromiter(map(symbols.__getitem__, found), dtype=np.int64, count=len(found))
+    return np.stack([ids[:-2], ids[1:-1], ids[2:]], axis=1)
+
+
+def shuffled(texts: Iterator[str], symbols: Symbols, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """All positions of the texts in batches; as many as are held at a time are shuffled, long texts cut in between."""
+    held, n = [], 0
+
+    def batches() -> Iterator[np.ndarray]:
+        found = np.concatenate(held)
+        return iter(np.array_split(found[rng.permutation(len(found))], -(-len(found) // BATCH)))
+
+    for text in texts:
+        rows = positions(text, symbols)
+        for part in (rows[i : i + HELD_POSITIONS] for i in range(0, len(rows), HELD_POSITIONS)):
+            held.append(part)
+            n += len(part)
+            if n >= HELD_POSITIONS:
+                yield from batches()
+                held, n = [], 0
+    if held:
+        yield from batches()
 
 
 def log_probabilities(model: dict[str, np.ndarray], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -161,16 +183,8 @@ def fitted(training: DataFrame, head: list[bytes], unigram: np.ndarray) -> dict[
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbols = Symbols(head)
         seed = TaskContext.get().partitionId()
-
-        def rows() -> Iterator[np.ndarray]:
-            rng = np.random.default_rng([11, seed])
-            for b in batches:
-                for at in range(0, len(b), 4000):
-                    found = np.concatenate([positions(t, symbols) for t in b["text"].iloc[at : at + 4000]])
-                    rng.shuffle(found)
-                    yield from np.array_split(found, -(-len(found) // BATCH))
-
-        m, seen = train(start, rows(), unigram, seed)
+        rows = shuffled((t for b in batches for t in b["text"]), symbols, np.random.default_rng([11, seed]))
+        m, seen = train(start, rows, unigram, seed)
         if seen:
             yield pd.DataFrame({"at": range(len(shapes)), "weight": float(seen), "v": [m[k][i].tolist() for k, i in shapes]})
 

@@ -93,6 +93,19 @@ def test_training_learns_what_follows():
     assert bilinear.log_probabilities(model, ids, np.arange(0, 60, 3)).reshape(20, 3)[:, 2].mean() > np.log(1 / 20) + 1
 
 
+def test_every_position_is_trained_on(monkeypatch):
+    monkeypatch.setattr(bilinear, "HELD_POSITIONS", 700)
+    texts = [" ".join(f"w{i % 9}" for i in range(n)) for n in (0, 1, 50, 2000)]
+    batches = list(bilinear.shuffled(iter(texts), bilinear.Symbols([b"w0", b"w1"]), np.random.default_rng(0)))
+    assert sum(map(len, batches)) == sum(n + 1 for n in (0, 1, 50, 2000)) and max(map(len, batches)) <= bilinear.BATCH
+    symbols = bilinear.Symbols([b"w0", b"w1"])
+    want = []
+    for t in texts:
+        ids = [bilinear.START, bilinear.START, *(symbols[w] for w in bilinear.tokens(t))]
+        want += zip(ids, ids[1:], ids[2:])
+    assert sorted(map(tuple, np.concatenate(batches).tolist())) == sorted(want)
+
+
 def test_lm_scores_and_base(spark):
     rows = [(i, "The cat Sat on the mat. " * (i % 5) + "É x" * (i % 2)) for i in range(40)] + [(None, None), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
