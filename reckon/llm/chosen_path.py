@@ -3,8 +3,8 @@
 Texts with the same set form one class from the start; its set stands for all. Every set is embedded as min-hash
 tokens. A run lets each set follow those of its tokens whose run-specific hash is under 1/(threshold * tokens),
 so sets that share tokens follow the same ones. A node with more than a few sets is split again by other sampled
-tokens; nodes that stay are leaves, and every two sets of a leaf are compared: a leaf too large for one task is dealt
-into blocks, and every block meets every other. Of the leaves that two sets share the smallest alone counts the pair,
+tokens; nodes that stay are leaves, and every two sets of a leaf are compared: a leaf too large for one task (by sets or
+by bytes) is dealt into blocks, and every block meets every other. Of the leaves that two sets share the smallest alone counts the pair,
 so each pair counts once; it is compared by min-hash tokens first, then exactly, on the sets themselves. There are
 as many runs as a pair at the threshold needs to stay together through all levels with probability recall. Linked
 classes are then joined by connected components.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +29,14 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 TOKENS = 32
-#: Sets of a node that is not split, levels of splitting, and sets of a block of a larger leaf.
+#: Sets of a node that is not split, and levels of splitting.
 BUCKET = 48
 LEVELS = 3
-BLOCK = 256
+#: Sets and shingles (8 bytes each) of a block of a larger leaf: two blocks are what a task holds at a time.
+BLOCK = 2048
+BLOCK_ITEMS = 2_000_000
+#: Values that one matrix product covers, and rows whose tokens are compared at once.
+SLICE, TILE = 4096, 64
 _WORDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,91 +120,104 @@ def least_agreeing(threshold: float, recall: float, tokens: int = TOKENS) -> int
     return int((np.cumsum(shared_odds(threshold, tokens)) < (1 - recall) / 100).sum())
 
 
-def owned(nodes: list[np.ndarray], node: int) -> np.ndarray:
-    """Matrix: whether two sets that share the node share no smaller one."""
-    flat = np.concatenate(nodes)
-    owner = np.repeat(np.arange(len(nodes)), [len(n) for n in nodes])[flat < node]
-    names, at = np.unique(flat[flat < node], return_inverse=True)
-    grid = np.zeros((len(nodes), len(names)), dtype=np.float32)
-    grid[owner, at] = 1
-    return grid @ grid.T == 0
+def shared(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Matrix: number of values that a list of the left and one of the right have in common (right None: the left again).
 
-
-def to_compare(nodes: list[np.ndarray], node: int, halves: np.ndarray) -> np.ndarray:
-    """Matrix of the pairs i < j that count here; halves: 0 for a block against itself, 1 and 2 for two blocks."""
-    return np.triu(owned(nodes, node) & ((halves[:, None] != halves) | (halves == 0)), 1)
-
-
-def similarities(members: list[np.ndarray]) -> np.ndarray:
-    """Matrix of exact Jaccard similarities; dense products over slices of the tokens."""
-    sizes = np.array([len(m) for m in members], dtype=float)
-    _, at = np.unique(np.concatenate(members), return_inverse=True)
-    owner = np.repeat(np.arange(len(members)), sizes.astype(int))
-    shared = np.zeros((len(members), len(members)))
+    Every list holds a value once. Dense products over slices of the values, without those that only one list holds.
+    """
+    lists = left if right is None else [*left, *right]
+    values, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[n[at] > 1]
+    _, at = np.unique(at[n[at] > 1], return_inverse=True)
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 16384):
-        a, b = np.searchsorted(at, [low, low + 16384])
-        grid = np.zeros((len(members), min(16384, int(at[-1]) + 1 - low)), dtype=np.float32)
+    out = np.zeros((len(left), len(left if right is None else right)), dtype=np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, SLICE):
+        a, b = np.searchsorted(at, [low, low + SLICE])
+        grid = np.zeros((len(lists), min(SLICE, int(at[-1]) + 1 - low)), dtype=np.float32)
         grid[owner[a:b], at[a:b] - low] = 1
-        shared += grid @ grid.T
-    return shared / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
+        out += grid[: len(left)] @ grid[0 if right is None else len(left) :].T
+    return out
 
 
-def similar(members: list[np.ndarray], threshold: float, wanted: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """Pairs i < j of sets with Jaccard similarity >= threshold, exactly; of those wanted (a matrix) if given."""
-    jaccard = similarities(members)
-    found = np.triu(jaccard >= threshold, 1)
-    i, j = np.nonzero(found if wanted is None else found & wanted)
-    return list(zip(i.tolist(), j.tolist(), jaccard[i, j].tolist()))
+def sides(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Places of the sets of a gid's two blocks (halves 1 and 2); a block against itself (halves 0) is the left one alone."""
+    return (np.flatnonzero(halves != 2), np.flatnonzero(halves == 2)) if halves.any() else (np.arange(len(halves)), None)
+
 
+def to_compare(nodes: list[np.ndarray], node: int, left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
+    """Matrix: whether a pair counts here, since it shares no smaller node; of a block against itself each pair once."""
+    smaller = [x[x < node] for x in nodes]
+    here = shared([smaller[i] for i in left], None if right is None else [smaller[j] for j in right]) == 0
+    return np.triu(here, 1) if right is None else here
 
-def forest(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Pairs that connect what all the pairs connect."""
-    up: dict[int, int] = {}
 
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            x = up[x]
-        return x
+def agreeing(marks: np.ndarray, left: np.ndarray, right: np.ndarray | None, wanted: np.ndarray, least: int) -> np.ndarray:
+    """The wanted pairs (a matrix) whose marks agree in `least` places."""
+    other = marks[left if right is None else right]
+    for low in range(0, len(left), TILE):
+        if wanted[low : low + TILE].any():
+            wanted[low : low + TILE] &= (marks[left[low : low + TILE], None] == other[None]).sum(axis=2) >= least
+    return wanted
+
+
+def similarities(members: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of exact Jaccard similarities of the sets at the places left with those at the places right."""
+    left = np.arange(len(members)) if left is None else left
+    sizes = np.array([len(m) for m in members], dtype=np.float64)
+    common = shared([members[i] for i in left], None if right is None else [members[j] for j in right]).astype(np.float64)
+    return common / np.maximum(1, sizes[left][:, None] + sizes[left if right is None else right][None] - common)
+
+
+def similar(members: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
+    """Pairs i < j of sets with Jaccard similarity >= threshold, exactly."""
+    jaccard = similarities(members)
+    i, j = np.nonzero(np.triu(jaccard >= threshold, 1))
+    return list(zip(i.tolist(), j.tolist(), jaccard[i, j].tolist()))
+
 
-    out = []
-    for i, j, s in pairs:
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j, s))
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Pairs that connect what the pairs (i, j), sorted by i, connect among 0 to n - 1."""
+    label, out = np.arange(n), []
+    starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])).tolist() if len(i) else []
+    for low, high in zip(starts, [*starts[1:], len(i)]):
+        tops = np.unique(np.append(label[j[low:high]], label[i[low]]))
+        if len(tops) > 1:
+            out += [(int(tops[0]), t) for t in tops[1:].tolist()]
+            label[np.isin(label, tops[1:])] = tops[0]
     return out
 
 
 def embedded(rows: DataFrame, k: int, threshold: float, runs: int) -> DataFrame:
-    """doc_id, key (of the set; null without words), sig, marks (a byte of each token), nodes of the first level."""
+    """doc_id, key (of the set; null without words), size, sig, marks (a byte of each token), nodes of the first level."""
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHash()
         for batch in batches:
             for b in (batch.iloc[i : i + 2000] for i in range(0, len(batch), 2000)):
-                keys, sigs, marks, nodes = [], [], [], []
+                keys, sizes, sigs, marks, nodes = [], [], [], [], []
                 for text in b["text"]:
                     s = shingles(text, words, k)
                     sig = signature(s) if len(s) else s
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sizes.append(len(s))
                     sigs.append(sig.tobytes() if len(s) else None)
                     marks.append(sig.astype(np.uint8).tobytes() if len(s) else None)
                     nodes.append(first_nodes(sig, runs, threshold) if len(s) else [])
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": keys, "sig": sigs, "marks": marks, "nodes": nodes})
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": keys, "size": sizes, "sig": sigs, "marks": marks, "nodes": nodes})
 
-    return rows.mapInPandas(embed, "doc_id long, key binary, sig binary, marks binary, nodes array<long>")
+    return rows.mapInPandas(embed, "doc_id long, key binary, size long, sig binary, marks binary, nodes array<long>")
 
 
 def leaves(sets: DataFrame, threshold: float, bucket: int, levels: int) -> DataFrame:
-    """(node, n, key): the sets of the nodes that are not split any more, each node with n > 1 sets."""
+    """(node, blocks, key): the sets of the nodes that are not split any more, each node with two sets or more, and the
+    number of blocks that a node is dealt into."""
     found = []
-    frontier = sets.select("key", F.explode("nodes").alias("node")).distinct()
+    frontier = sets.select("key", "size", F.explode("nodes").alias("node")).distinct()
     for level in range(1, levels + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        active = cut(frontier.join(sizes, "node").select("node", "n", "key"))
-        found.append(active.filter((F.col("n") <= bucket) | F.lit(level == levels)))
+        sizes = frontier.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("items")).filter("n > 1")
+        active = cut(frontier.join(sizes, "node").select("node", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("long").alias("blocks"), "key"))
+        found.append(active.filter((F.col("n") <= bucket) | F.lit(level == levels)).select("node", "blocks", "key"))
         large = active.filter(F.col("n") > bucket)
         if level == levels or large.isEmpty():
             break
@@ -209,9 +225,9 @@ def leaves(sets: DataFrame, threshold: float, bucket: int, levels: int) -> DataF
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 kids = [children(np.frombuffer(s, dtype=np.uint64), n, threshold) for s, n in zip(b["sig"], b["node"])]
-                yield pd.DataFrame({"key": b["key"], "nodes": kids})
+                yield pd.DataFrame({"key": b["key"], "size": b["size"], "nodes": kids})
 
-        frontier = large.join(sets.select("key", "sig"), "key").select("key", "node", "sig").mapInPandas(split, "key binary, nodes array<long>").select("key", F.explode("nodes").alias("node")).distinct()
+        frontier = large.join(sets.select("key", "size", "sig"), "key").select("key", "size", "node", "sig").mapInPandas(split, "key binary, size long, nodes array<long>").select("key", "size", F.explode("nodes").alias("node")).distinct()
     rows = found[0]
     for other in found[1:]:
         rows = rows.unionByName(other)
@@ -236,8 +252,8 @@ def in_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def candidates(sets: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """(gid, node, half, key, nodes): the sets to be compared, by gid; those without a pair that counts there and agrees
     in `least` tokens are left out. A leaf is one gid; a larger one has a gid for every two of its blocks."""
-    each = rows.groupBy("key").agg(F.collect_set(F.struct("node", "n")).alias("at")).join(sets.select("key", "marks"), "key")
-    each = each.select("key", "marks", F.col("at.node").alias("nodes"), F.explode("at").alias("x")).select("key", "marks", "nodes", "x.node", F.ceil(F.col("x.n") / BLOCK).cast("long").alias("blocks"))
+    each = rows.groupBy("key").agg(F.collect_set(F.struct("node", "blocks")).alias("at")).join(sets.select("key", "marks"), "key")
+    each = each.select("key", "marks", F.col("at.node").alias("nodes"), F.explode("at").alias("x")).select("key", "marks", "nodes", "x.node", "x.blocks")
     each = each.withColumn("own", F.pmod(F.xxhash64("key", "node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     gid = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
     half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
@@ -246,11 +262,13 @@ def candidates(sets: DataFrame, rows: DataFrame, least: int) -> DataFrame:
         out, n = [], 0
         for g in in_groups(batches):
             if len(g) > 1:
-                marks = np.stack([np.frombuffer(x, dtype=np.uint8) for x in g["marks"]])
-                wanted = to_compare(g["nodes"].tolist(), g["node"].iloc[0], g["half"].to_numpy())
+                left, right = sides(g["half"].to_numpy())
+                wanted = to_compare(g["nodes"].tolist(), g["node"].iloc[0], left, right)
                 if wanted.any():
-                    wanted &= (marks[:, None] == marks[None]).sum(axis=2) >= least
-                    keep = wanted.any(axis=0) | wanted.any(axis=1)
+                    wanted = agreeing(np.stack([np.frombuffer(x, dtype=np.uint8) for x in g["marks"]]), left, right, wanted, least)
+                    keep = np.zeros(len(g), dtype=bool)
+                    keep[left] |= wanted.any(axis=1)
+                    keep[left if right is None else right] |= wanted.any(axis=0)
                     if keep.any():
                         out.append(g.drop(columns="marks")[keep])
                         n += len(out[-1])
@@ -282,10 +300,13 @@ def links(rows: DataFrame, base: DataFrame, asked: DataFrame, k: int, threshold:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for g in in_groups(batches):
-            pairs = similar([np.frombuffer(x, dtype=np.uint64) for x in g["set"]], threshold, to_compare(g["nodes"].tolist(), g["node"].iloc[0], g["half"].to_numpy()))
-            keys = g["key"].tolist()
-            out += [(keys[i], keys[j], None) for i, j, _ in forest(pairs)]
-            out += [(keys[i], None, n) for i, n in Counter(x for i, j, _ in pairs for x in (i, j)).items()]
+            left, right = sides(g["half"].to_numpy())
+            members, keys = [np.frombuffer(x, dtype=np.uint64) for x in g["set"]], g["key"].tolist()
+            i, j = np.nonzero((similarities(members, left, right) >= threshold) & to_compare(g["nodes"].tolist(), g["node"].iloc[0], left, right))
+            i, j = left[i], (left if right is None else right)[j]
+            out += [(keys[a], keys[b], None) for a, b in forest(i, j, len(g))]
+            degrees = np.bincount(np.append(i, j), minlength=len(g))
+            out += [(keys[a], None, int(degrees[a])) for a in np.flatnonzero(degrees).tolist()]
             if len(out) >= 5000:
                 yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"n": "Int64"})
                 out = []
@@ -307,7 +328,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     """
     rows = texts(docs, id_col, text_col)
     base = cut(embedded(rows, k, threshold, runs_for(threshold, recall, levels)))
-    sets = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"), F.min("marks").alias("marks"), F.min("nodes").alias("nodes"))
+    sets = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("size").alias("size"), F.min("sig").alias("sig"), F.min("marks").alias("marks"), F.min("nodes").alias("nodes"))
     sets = cut(sets)
     asked = candidates(sets, leaves(sets, threshold, bucket, levels), least_agreeing(threshold, recall))
     found = cut(links(rows, base.filter("key is not null").select("doc_id", "key"), asked, k, threshold))

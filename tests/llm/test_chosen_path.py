@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from reckon.llm import chosen_path as cp
 
 
@@ -90,8 +92,10 @@ def edited(body, n, rng, word):
     return copy
 
 
-def test_large_groups_have_all_their_links(spark):
+@pytest.mark.parametrize("block", [cp.BLOCK, 128])
+def test_large_groups_have_all_their_links(spark, monkeypatch, block):
     """A star (copies like the original, hardly like each other) and a shared template, both far above a bucket."""
+    monkeypatch.setattr(cp, "BLOCK", block)
     rng, new = random.Random(8), iter(range(10**9))
     word = lambda: f"n{next(new)}"
     star = [word() for _ in range(300)]
