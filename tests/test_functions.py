@@ -104,11 +104,26 @@ def test_periods_and_terminals(spark):
 def test_slots(spark):
     df = spark.createDataFrame([("Труба Ду 50, 3x2,5 мм² 10-35 кВ", None), ("кабель 3x4", "кабель"), ("кабель 3x4", None), ("Монтаж 35-10 кВ", None), (None, None)], "x string, k string")
     got = [r.v for r in df.select(slots.typed_slots("x", "k").alias("v")).collect()]
-    assert [(s.kind, s.normalized) for s in got[0].slots] == [("diameter", "50:nominal"), ("cable_section", "3x2.5:mm2"), ("voltage", "10-35:kv")]
+    assert [(s.kind, s.normalized) for s in got[0].slots] == [("diameter", "nominal:50:mm"), ("cable_section", "3x2.5:mm2"), ("voltage", "10..35:kv")]
     assert got[0].skeleton == "труба <diameter>, <cable_section> <voltage>"
     assert [s.normalized for s in got[1].slots] == ["3x4:mm2"] and not got[1].requires_review
     assert got[2].slots == [] and got[2].warnings == ["ambiguous_cable_section"]
     assert "invalid_range" in got[3].warnings and got[4].skeleton == ""
+    for name, kind, normalized, warnings, conflicts in [
+        ("ГОСТ № 30732-2006", None, ["гост:30732-2006"], [], []),
+        ("Материал: сталь, материал: чугун", None, ["сталь", "чугун"], [], ["conflicting_material"]),
+        ("Ду 50 Ду 80", None, ["nominal:50:mm", "nominal:80:mm"], ["multiple_family_values"], ["conflicting_single_value"]),
+        ("вес 2,5 т", None, ["2500:kg"], [], []),
+        ("марка:", None, [], ["missing_slot_value"], []),
+        ("Ду абв", None, [], ["invalid_numeric_value"], []),
+        ("труба d 32", "трубопровод", ["unspecified:32:mm"], [], []),
+        ("труба d 32", None, [], ["ambiguous_diameter"], []),
+        ("кабель 3хQ мм2", "кабель", [], ["invalid_numeric_value"], []),
+    ]:
+        found, _, warned, against, review = slots.parse(name, kind)
+        assert ([s[4] for s in found], warned, against, review) == (normalized, warnings, conflicts, bool(warnings or conflicts)), name
+    twice = slots.with_slots(df.unionByName(df), "x", "k").select("x", "parsed.skeleton").collect()
+    assert len(twice) == 10 and {r.skeleton for r in twice if r.x is None} == {""}
 
 
 def test_slots_never_overlap():
@@ -118,7 +133,7 @@ def test_slots_never_overlap():
     @settings(max_examples=200, deadline=None)
     @given(st.lists(st.sampled_from(["Ду", "50", "3x4", "мм²", "10", "-", "35", "кВ", "ГОСТ", "т", "м", ",", "марка", "нгLS"]), max_size=12))
     def check(words):
-        found, _, _, _ = slots.parse(" ".join(words), "кабель труба")
+        found, _, _, _, _ = slots.parse(" ".join(words), "кабель труба")
         spans = sorted((s, e) for _, _, s, e, _ in found)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
