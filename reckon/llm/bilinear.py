@@ -1,14 +1,19 @@
 """Operator 7, language-model scoring: a log-bilinear model trained with noise-contrastive estimation, in numpy.
 
-The model predicts symbols: the most frequent training words, and classes of all other words by their last two
-bytes. A context is the two symbols before; its vector is the sum of their vectors, weighted by place; a
-symbol's score is that vector's product with the symbol's own, plus a bias. Scores are normalised over all symbols,
-and a class shares its probability among its words by their counts, with a place for unknown words, so the text
-probabilities sum to one. Every position of every training document is trained on, in batches; tasks train on their own
-documents from the same start, and their parameters are averaged by weight.
-
-Word counts are a table, never gathered: texts are dealt into chunks of bounded size, the distinct words of a chunk
-are joined with the counts and come back to it.
+The model predicts symbols: the words that the training texts hold often enough (the vocabulary follows the corpus, up to
+a bound that keeps the model small enough to send), and classes of all other words by their last two bytes. Symbols lie in
+groups of like endings, and a symbol's probability is that of its group times that of the symbol in the group; both
+are normalised, so the probabilities of all texts sum to one. The vector of a context is linear in the vectors of the words
+before: the last, the last but one, and the mean of sixteen more, each weighted by place. A score is that vector's product
+with the group's or the symbol's own, plus a bias. A class shares its probability among its words by their counts in the
+corpus, with a place for unknown words.
+
+Every position of every training document is trained on once, in batches. Tasks train on their own documents from the same
+start; what they send back are the vectors they touched, weighted by use, and a table merges them. The documents are dealt
+into rounds, and a round starts from what the ones before have learnt.
+
+Word counts are a table. Of it the most frequent words are sent to the tasks, a bounded number; the other words of a
+document are joined with their counts, and the sums come back to it. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,23 +21,34 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.llm.common import cut, parquet, remainder, texts
 
-#: Symbols of single words, classes of the others, vector width, noise samples, batch.
-HEAD, CLASSES, WIDTH, NOISE, BATCH = 512, 64, 32, 32, 1024
-#: Positions that a training task holds and shuffles at a time.
-HELD_POSITIONS = 262_144
-#: Text of a chunk, and least number of chunks.
-CHUNK_BYTES, LEAST_CHUNKS = 12_000_000, 24
+#: Most words with a vector of their own (bounds what is sent: 256 bytes a word), and how often they must occur.
+VOCABULARY, LEAST_COUNT = 16_384, 5
+#: Most words whose counts are sent to the tasks, some 40 bytes each; the others meet theirs in a join.
+COUNTED = 262_144
+#: Classes of the words without a vector.
+CLASSES = 1024
+#: Vector width; noise samples of groups and of symbols in a group; places of a batch; places of a run of one group.
+WIDTH, GROUP_NOISE, NOISE, BATCH, RUN = 31, 32, 12, 4096, 32
+#: Words of the mean, how far a context reaches back, and rounds of training.
+MEAN, REACH, ROUNDS = 16, 18, 2
+RATE = 0.05
+#: Places that are scored at a time.
+AT_ONCE = 32_768
 #: Distinct words a counting task holds before it sends them on.
 HELD_WORDS = 400_000
+#: Vectors of a merging group, and parts that one merging step takes together.
+MERGED_ROWS, FAN = 512, 256
 END = b" "  # no word holds white space
 
 
@@ -45,228 +61,418 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-class Symbols(dict):
-    """Word -> symbol: a place in the head, or HEAD plus the word's class."""
+class Numbers(dict):
+    """Word -> its place among the counted words, or their number plus the word's class."""
 
-    def __init__(self, head: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(head)})
-        self.n_head = len(head)
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.n_words = len(words)
 
     def __missing__(self, word: bytes) -> int:
-        return HEAD + class_of(word)
-
-
-START = HEAD + CLASSES
-
-
-def first_model(unigram: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """The common start: small random vectors, and the symbols' log shares as biases."""
+        return self.n_words + class_of(word)
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+
+
+@dataclass
+class Model:
+    """words: the vocabulary, by reversed spelling; begin: where each group's symbols begin, and their number;
+    share: the symbols' shares of the training tokens; vectors: rows for contexts (the last: before a text),
+    symbols, groups and the three places. The last column is the bias of symbols and groups, and 0 elsewhere."""
+
+    words: list[bytes]
+    begin: np.ndarray
+    share: np.ndarray
+    vectors: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return int(self.begin[-1])
+
+    @property
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Views: contexts, symbols, groups, places."""
+        s, g = self.size, len(self.begin) - 1
+        return self.vectors[: s + 1], self.vectors[s + 1 : 2 * s + 1], self.vectors[2 * s + 1 : 2 * s + 1 + g], self.vectors[2 * s + 1 + g :]
+
+    @property
+    def group_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+
+
+def first_model(counts: dict[bytes, int], class_counts: np.ndarray, seed: int = 7) -> Model:
+    """The common start: small random vectors, and log shares as biases. counts: of the vocabulary."""
+    words = sorted(counts, key=lambda w: w[::-1])
+    n = len(words) + CLASSES
+    size = max(1, round(n**0.5))
+    begin = np.unique(np.concatenate([np.arange(0, len(words), size), len(words) + np.arange(0, CLASSES, size), [n]]))
+    share = np.concatenate([[counts[w] for w in words], class_counts]) + 0.5
+    share = share / share.sum()
     rng = np.random.default_rng(seed)
-    n = HEAD + CLASSES
-    return {
-        "context": rng.normal(0, 0.1, (n + 1, WIDTH)).astype(np.float32),
-        "target": rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32),
-        "place": np.ones((2, WIDTH), dtype=np.float32),
-        "bias": np.log(unigram).astype(np.float32)[:, None],
-    }
-
-
-def train(model: dict[str, np.ndarray], rows: Iterator[np.ndarray], unigram: np.ndarray, seed: int, rate: float = 0.15) -> tuple[dict[str, np.ndarray], int]:
-    """Adagrad on batches of (before, just before, target) symbols; the noise of a batch is shared by its rows."""
-    m = {k: v.copy() for k, v in model.items()}
-    squares = {k: np.full(v.shape, 0.1, dtype=np.float32) for k, v in m.items()}
-    rng = np.random.default_rng(seed)
-    log_noise = np.log(NOISE * unigram).astype(np.float32)
-    sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    seen = 0
-
-    def step(name: str, at: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
+    model = Model(words, begin, share, np.zeros((2 * n + len(begin) + 3, WIDTH + 1), dtype=np.float32))
+    context, symbol, group, place = model.parts
+    for part in (context, symbol, group):
+        part[:, :WIDTH] = rng.normal(0, 0.1, (len(part), WIDTH))
+    of_group = np.add.reduceat(share, begin[:-1])
+    symbol[:, WIDTH] = np.log(share / of_group[model.group_of])
+    group[:, WIDTH] = np.log(of_group)
+    place[:, :WIDTH] = np.array([1, 1, 4])[:, None]
+    return model
+
+
+def pieces(ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """A text's symbols in parts of `most` at most, each with as many symbols before it as a context reaches, and their number."""
+    for at in range(0, len(ids), most):
+        lead = min(at, REACH)
+        yield ids[at - lead : at + most], lead
+
+
+class Places:
+    """Symbols of pieces laid end to end, with REACH places before each piece and at the end that no context looks beyond."""
+
+    def __init__(self, found: list[tuple[np.ndarray, int]], before: int):
+        """before: the symbol that stands before a text."""
+        at = REACH
+        self.ids = np.full(sum(len(ids) + REACH for ids, _ in found) + REACH, before, dtype=np.int64)
+        self.text, self.real = np.zeros(len(self.ids), dtype=bool), np.zeros(len(self.ids), dtype=bool)
+        for ids, lead in found:
+            self.ids[at : at + len(ids)] = ids
+            self.text[at : at + len(ids)] = True
+            self.real[at + lead : at + len(ids)] = True
+            at += len(ids) + REACH
+
+    def contexts(self, context: np.ndarray) -> np.ndarray:
+        """For each place, the vectors of the last word, of the last but one, and the mean of those before (the first axis)."""
+        each = context[self.ids]
+        out = np.zeros((3, *each.shape), dtype=np.float32)
+        out[0, 1:], out[1, 2:] = each[:-1], each[:-2]
+        each[~self.text] = 0
+        for width in (1, 2, 4, 8):  # sums of 2, 4, 8 and MEAN places
+            each[width:] = each[width:] + each[:-width]
+        out[2, 3:] = each[:-3] / MEAN
+        return out
+
+    def back(self, grad: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the context vectors of the text's places, and of the vector before a text."""
+        out = np.zeros_like(grad)
+        out[:-1] = grad[1:] * place[0]
+        out[:-2] += grad[2:] * place[1]
+        first = out[~self.text].sum(axis=0)
+        sums = grad.copy()
+        for width in (1, 2, 4, 8):
+            sums[:-width] = sums[:-width] + sums[width:]
+        out[:-3] += sums[3:] * (place[2] / MEAN)
+        return out[self.text], first
+
+
+def sigma(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def states(seen: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Contexts' vectors; the last column, which meets the biases, is 1."""
+    h = seen[0] * place[0]
+    h += seen[1] * place[1]
+    h += seen[2] * place[2]
+    h[:, WIDTH] = 1
+    return h
+
+
+def train(model: Model, batches: Iterator[list[tuple[np.ndarray, int]]], seed: int, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors after Adagrad on noise-contrastive estimates, and how often each was used.
+
+    For its group, a place competes with GROUP_NOISE groups drawn by share for the whole batch; for its symbol, with NOISE
+    symbols drawn by share in its group. Places of one group are taken in runs, so the products are dense.
+    """
+    m = Model(model.words, model.begin, model.share, model.vectors.copy())
+    context, symbol, group, place = m.parts
+    at_symbol, at_group, at_place = len(context), len(context) + len(symbol), len(context) + len(symbol) + len(group)
+    squares, used = np.ones_like(m.vectors), np.zeros(len(m.vectors))
+    rng = np.random.default_rng([11, seed])
+    group_of, n_groups = m.group_of, len(m.begin) - 1
+    of_group = np.add.reduceat(m.share, m.begin[:-1])
+    of_group = of_group / of_group.sum()
+    log_group = np.log(GROUP_NOISE * of_group).astype(np.float32)
+    log_symbol = np.log(NOISE * m.share / np.add.reduceat(m.share, m.begin[:-1])[group_of]).astype(np.float32)
+    upto = np.concatenate([[0], np.cumsum(m.share)])
+    low, high = upto[m.begin[:-1]], upto[m.begin[1:]]
+    small = np.uint16 if len(m.vectors) < 65536 else np.int64  # sorts faster
+
+    def step(at: np.ndarray, grad: np.ndarray, weight: np.ndarray | None = None) -> None:
+        order = np.argsort(at.astype(small), kind="stable")
         at = at[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        total, at = np.add.reduceat(grad[order], first, axis=0), at[first]
-        squares[name][at] += total * total
-        m[name][at] += rate * total / np.sqrt(squares[name][at])
-
-    for batch in rows:
-        a, b, t = batch.T
-        noise = rng.choice(len(unigram), NOISE, p=unigram)
-        va, vb = m["context"][a], m["context"][b]
-        h = va * m["place"][0] + vb * m["place"][1]
-        vt, vn = m["target"][t], m["target"][noise]
-        dt = 1 - sigma((h * vt).sum(axis=1) + m["bias"][t, 0] - log_noise[t])
-        dn = -sigma(h @ vn.T + m["bias"][noise, 0] - log_noise[noise])
-        n = len(batch) ** 0.5
-        gh = (dt[:, None] * vt + dn @ vn) / n
-        step("target", np.append(t, noise), np.concatenate([dt[:, None] * h, dn.T @ h]) / n)
-        step("bias", np.append(t, noise), np.append(dt, dn.sum(axis=0))[:, None] / n)
-        step("context", np.append(a, b), np.concatenate([gh * m["place"][0], gh * m["place"][1]]))
-        step("place", np.array([0, 1]), np.stack([(gh * va).sum(axis=0), (gh * vb).sum(axis=0)]) / n)
-        seen += len(batch)
-    return m, seen
-
-
-def positions(text: str, symbols: Symbols) -> np.ndarray:
-    """Rows of (before, just before, target), one for every token of the text."""
-    found = tokens(text)
-    ids = np.full(len(found) + 2, START, dtype=np.int64)
-    ids[2:] = np.fromiter(map(symbols.__getitem__, found), dtype=np.int64, count=len(found))
-    return np.stack([ids[:-2], ids[1:-1], ids[2:]], axis=1)
-
-
-def shuffled(texts: Iterator[str], symbols: Symbols, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """All positions of the texts in batches; as many as are held at a time are shuffled, long texts cut in between."""
+        total, rows = np.add.reduceat(grad[order], first, axis=0), at[first]
+        used[rows] += np.diff(np.append(first, len(at))) if weight is None else np.add.reduceat(weight[order], first)
+        squares[rows] += total * total
+        m.vectors[rows] += rate * total / np.sqrt(squares[rows])
+
+    for batch in batches:
+        p = Places(batch, m.size)
+        real = np.flatnonzero(p.real)
+        seen, target = p.contexts(context)[:, real], p.ids[real]
+        h = states(seen, place)
+        own = group_of[target]
+        # The group.
+        noise = rng.choice(n_groups, GROUP_NOISE, p=of_group)
+        vt, vn = group[own], group[noise]
+        dt = 1 - sigma(np.einsum("ij,ij->i", h, vt) - log_group[own])
+        dn = -sigma(h @ vn.T - log_group[noise])
+        grad = dn @ vn
+        grad += dt[:, None] * vt
+        group_step = np.append(own, noise) + at_group, np.concatenate([dt[:, None] * h, dn.T @ h])
+        # The symbol in it: places sorted by group, cut into runs, all with the group's noise.
+        order = np.argsort(own.astype(small), kind="stable")
+        n_own = np.bincount(own, minlength=n_groups)
+        n_runs = -(-n_own // RUN)
+        of_run = np.repeat(np.arange(n_groups), n_runs)
+        nth = np.arange(len(of_run)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+        rows = (np.cumsum(n_own) - n_own)[of_run][:, None] + (nth * RUN)[:, None] + np.arange(RUN)
+        held = rows < np.cumsum(n_own)[of_run][:, None]
+        rows = order[np.minimum(rows, len(order) - 1)]
+        drawn = np.searchsorted(upto, low[:, None] + rng.random((n_groups, NOISE)) * (high - low)[:, None], side="right") - 1
+        drawn = np.clip(drawn, m.begin[:-1, None], m.begin[1:, None] - 1)
+        hs, vs = h[rows], symbol[drawn[of_run]]
+        ds = -sigma(hs @ vs.transpose(0, 2, 1) - log_symbol[drawn[of_run]][:, None])
+        ds *= held[..., None]
+        grad[rows[held]] += (ds @ vs)[held]
+        vt = symbol[target]
+        dt = 1 - sigma(np.einsum("ij,ij->i", h, vt) - log_symbol[target])
+        grad += dt[:, None] * vt
+        by_run = ds.transpose(0, 2, 1) @ hs
+        step(np.append(target, drawn[of_run].ravel()) + at_symbol, np.concatenate([dt[:, None] * h, by_run.reshape(-1, WIDTH + 1)]))
+        step(*group_step)
+        # The context.
+        grad[:, WIDTH] = 0
+        of_place = np.einsum("kij,ij->kj", seen, grad)
+        whole = np.zeros((len(p.ids), WIDTH + 1), dtype=np.float32)
+        whole[real] = grad
+        by_symbol, first = p.back(whole, place)
+        step(np.append(p.ids[p.text], m.size), np.concatenate([by_symbol, first[None]]))
+        step(at_place + np.arange(3), of_place / np.float32(len(real) ** 0.5), np.full(3, len(real)))
+    return m.vectors, used
+
+
+def batched(texts: Iterator[str], numbers: Numbers, symbol_of: np.ndarray) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """All positions of the texts, in batches of some BATCH places."""
     held, n = [], 0
-
-    def batches() -> Iterator[np.ndarray]:
-        found = np.concatenate(held)
-        return iter(np.array_split(found[rng.permutation(len(found))], -(-len(found) // BATCH)))
-
     for text in texts:
-        rows = positions(text, symbols)
-        for part in (rows[i : i + HELD_POSITIONS] for i in range(0, len(rows), HELD_POSITIONS)):
-            held.append(part)
-            n += len(part)
-            if n >= HELD_POSITIONS:
-                yield from batches()
+        for piece in pieces(symbol_of[numbers.of(tokens(text))], BATCH):
+            held.append(piece)
+            n += len(piece[0])
+            if n >= BATCH:
+                yield held
                 held, n = [], 0
     if held:
-        yield from batches()
-
-
-def log_probabilities(model: dict[str, np.ndarray], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of all symbols of the texts laid end to end; starts: where texts begin."""
-    n = len(ids)
-    one, two = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
-    one[starts] = START
-    two[starts] = START
-    second = starts[starts + 1 < n] + 1
-    two[second] = START
-    pairs, at = np.unique(two * (START + 1) + one, return_inverse=True)
-    h = model["context"][pairs // (START + 1)] * model["place"][0] + model["context"][pairs % (START + 1)] * model["place"][1]
-    norm = np.empty(len(pairs))
-    for i in range(0, len(pairs), 4096):
-        s = h[i : i + 4096] @ model["target"].T + model["bias"][:, 0]
-        top = s.max(axis=1)
-        norm[i : i + 4096] = top + np.log(np.exp(s - top[:, None]).sum(axis=1, dtype=np.float64))
-    out = np.empty(n)
-    for i in range(0, n, 65536):
-        j = at[i : i + 65536]
-        t = ids[i : i + 65536]
-        out[i : i + 65536] = (h[j] * model["target"][t]).sum(axis=1, dtype=np.float64) + model["bias"][t, 0] - norm[j]
+        yield held
+
+
+def log_normalised(h: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the shares of the vectors `at` in the softmax of h's products with all the vectors."""
+    scores = h @ vectors.T
+    picked = scores[np.arange(len(at)), at].astype(np.float64)
+    if scores.max() < 60 and picked.min() > -60:  # neither overflow nor an empty sum
+        return picked - np.log(np.exp(scores, out=scores) @ np.ones(len(vectors), dtype=np.float32))
+    top = scores.max(axis=1, keepdims=True)
+    scores -= top
+    return picked - top[:, 0] - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+
+def log_probabilities(model: Model, found: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Natural log-probabilities of the pieces' symbols, in order, without those that lead."""
+    context, symbol, group, place = model.parts
+    p = Places(found, model.size)
+    h, target = states(p.contexts(context)[:, p.real], place), p.ids[p.real]
+    own = model.group_of[target]
+    out = log_normalised(h, group, own)
+    order = np.argsort(own.astype(np.uint16), kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(len(model.begin)))
+    for g in np.flatnonzero(np.diff(cuts)):
+        rows, low = order[cuts[g] : cuts[g + 1]], model.begin[g]
+        out[rows] += log_normalised(h[rows], symbol[low : model.begin[g + 1]], target[rows] - low)
     return out
 
 
 def word_counts(training: DataFrame) -> DataFrame:
     """word (binary), n: counts of all tokens of the training texts, END included; summed in the tasks first."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
         for b in batches:
-            for text in b["text"]:
+            for text in b.column(0).to_pylist():
                 held.update(tokens(text))
                 if len(held) >= HELD_WORDS:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield rows()
                     held.clear()
         if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-
-    return training.select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            yield rows()
 
+    return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def fitted(training: DataFrame, head: list[bytes], unigram: np.ndarray) -> dict[str, np.ndarray]:
-    """The tasks' models, averaged by the positions that each has seen; only the average comes to the driver."""
-    start = first_model(unigram)
-    shapes = [(k, i) for k, v in start.items() for i in range(len(v))]
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbols = Symbols(head)
-        seed = TaskContext.get().partitionId()
-        rows = shuffled((t for b in batches for t in b["text"]), symbols, np.random.default_rng([11, seed]))
-        m, seen = train(start, rows, unigram, seed)
-        if seen:
-            yield pd.DataFrame({"at": range(len(shapes)), "weight": float(seen), "v": [m[k][i].tolist() for k, i in shapes]})
+def merged(parts: DataFrame) -> DataFrame:
+    """(at, weight, v): the weighted mean of each vector over all parts. Steps of FAN parts, so no group grows with them."""
 
     def mean(b: pd.DataFrame) -> pd.DataFrame:
-        v, w = np.stack(b["v"].to_numpy()).astype(float), b["weight"].to_numpy()
-        return pd.DataFrame({"at": [b["at"].iloc[0]], "v": [(v * w[:, None]).sum(axis=0) / w.sum()]})
+        b = b.sort_values("at", kind="stable")
+        at, w = b["at"].to_numpy(), b["weight"].to_numpy()
+        v = np.frombuffer(b"".join(b["v"]), dtype=np.float32).reshape(len(b), -1) * w[:, None]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        weight = np.add.reduceat(w, first)
+        v = (np.add.reduceat(v, first, axis=0) / weight[:, None]).astype(np.float32)
+        return pd.DataFrame({"at": at[first], "part": b["part"].iloc[0] // FAN, "weight": weight, "v": [x.tobytes() for x in v]})
 
-    parts = training.select("text").mapInPandas(learn, "at int, weight double, v array<double>")
-    for row in parts.groupBy("at").applyInPandas(mean, "at int, v array<double>").collect():
-        k, i = shapes[row["at"]]
-        start[k][i] = row.v
-    return start
+    for _ in range(3):
+        parts = parts.groupBy((F.col("at") / MERGED_ROWS).cast("int"), (F.col("part") / FAN).cast("int")).applyInPandas(mean, "at int, part int, weight double, v binary")
+    return parts.select("at", "v")
 
 
-def score_texts(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5) -> DataFrame:
+@dataclass
+class Counts:
+    """What of the corpus' counts is sent: total and distinct tokens; the counted words, most frequent first, and their counts;
+    tokens and distinct words by class, of all words without a vector (n_vectors of the counted ones have one)."""
+
+    total: int
+    distinct: int
+    words: list[bytes]
+    n: np.ndarray
+    n_vectors: int
+    class_n: np.ndarray
+    class_v: np.ndarray
+
+    def symbol_of(self, model: Model) -> np.ndarray:
+        """The symbol of every number that Numbers(words) gives."""
+        own = {w: i for i, w in enumerate(model.words)}
+        other = len(model.words)
+        return np.array([*(own[w] for w in self.words[: self.n_vectors]), *(other + class_of(w) for w in self.words[self.n_vectors :]), *range(other, other + CLASSES)])
+
+
+def counted(counts: DataFrame, vocabulary: int) -> Counts:
+    in_class = (F.crc32(F.substring("word", -2, 2)) % CLASSES).cast("int")
+    top = counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(max(COUNTED, vocabulary)).toPandas()
+    words, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.int64)
+    n_vectors = min(vocabulary, int((n >= LEAST_COUNT).sum()))
+    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counts.groupBy(in_class.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        class_n[r.k], class_v[r.k] = r.n, r.v
+    total, distinct = int(class_n.sum()), int(class_v.sum())
+    for word, k in zip(words[:n_vectors], n):
+        class_n[class_of(word)] -= k
+        class_v[class_of(word)] -= 1
+    return Counts(total, distinct, words, n, n_vectors, class_n, class_v)
+
+
+def fitted(training: DataFrame, start: Model, known: Counts, rounds: int = ROUNDS) -> Model:
+    """The model after all rounds; only the merged vectors of each come to the driver."""
+    vectors, symbol_of = start.vectors, known.symbol_of(start)
+    for turn in range(rounds):
+        now = Model(start.words, start.begin, start.share, vectors.copy())
+
+        def learn(batches: Iterator[pa.RecordBatch], now: Model = now) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            found, used = train(now, batched((t for b in batches for t in b.column(0).to_pylist()), Numbers(known.words), symbol_of), part)
+            rows = np.flatnonzero(used)
+            if len(rows):
+                v = pa.array([x.tobytes() for x in found[rows]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(used[rows]), v], ["at", "part", "weight", "v"])
+
+        own = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("text")
+        vectors = vectors.copy()
+        for at, v in merged(own.mapInArrow(learn, "at int, part int, weight double, v binary")).toPandas().itertuples(index=False):
+            vectors[at] = np.frombuffer(v, dtype=np.float32)
+    return Model(start.words, start.begin, start.share, vectors)
+
+
+def score_texts(docs: DataFrame, held_out_remainder: int = 1, modulus: int = 5, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents whose crc32(doc_id as text) mod `modulus` differs from the remainder. base_score:
     smoothed unigram log10 probability; score: the model's. Null text counts as empty and so has one token, the end;
     a null id hashes as ''. Without training documents both scores still come from normalised (flat) shares.
-    Repeated rows are documents each. An empty table gives no rows.
+    Repeated rows are documents each. An empty table gives no rows. Other columns, whatever their names, are dropped.
     """
     rows = texts(docs)
     training = rows.filter(remainder("doc_id", modulus) != held_out_remainder)
     counts = cut(word_counts(training))
-    in_class = (F.crc32(F.substring("word", -2, 2)) % CLASSES).cast("int")
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = [bytes(r.word) for r in top]
-    by_class = counts.groupBy(in_class.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class:
-        n_class[r.k], v_class[r.k] = r.n, r.v
-    total, distinct = int(n_class.sum()), int(v_class.sum())
-    for r in top:
-        n_class[class_of(bytes(r.word))] -= r.n
-        v_class[class_of(bytes(r.word))] -= 1
-    share = np.zeros(HEAD + CLASSES)
-    share[: len(top)] = [r.n for r in top]
-    share[HEAD:] = n_class
-    unigram = (share + 0.5) / (share + 0.5).sum()
-    unigram /= unigram.sum()
-    model = fitted(training, head, unigram)
-    model["bias"][len(top) : HEAD] = -1e9  # places of the head that no word has
-    log_base = np.log10(total + 0.5 * (distinct + 1))
-    log_class = np.log10(n_class + 0.5 * (v_class + 1))
-
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
-    n_chunks = max(LEAST_CHUNKS, -(-size // CHUNK_BYTES))
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_chunks)).alias("chunk"))
-
-    def distinct_words(b: pd.DataFrame) -> pd.DataFrame:
-        found: set = set().union(*map(tokens, b["text"])).difference(head)
-        return pd.DataFrame({"chunk": b["chunk"].iloc[0], "word": list(found)})
-
-    def scored(b: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-        number = {w: i for i, w in enumerate(head)}
-        number.update((w, i) for i, w in enumerate(known["word"], len(head)))
-        count = [r.n for r in top] + known["n"].tolist()
-        symbol = [*range(len(head)), *(HEAD + class_of(w) for w in known["word"])]
-        parts = []
-        for text in b["text"]:
-            found = tokens(text)
-            for w in found:
-                if w not in number:
-                    number[w] = len(count)
-                    count.append(0)
-                    symbol.append(HEAD + class_of(w))
-            parts.append(np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found)))
-        c, s = np.array(count, dtype=float), np.array(symbol, dtype=np.int64)
-        within = np.where(s < HEAD, 0.0, np.log10(c + 0.5) - log_class[np.maximum(s - HEAD, 0)])
-        lengths = np.array([len(p) for p in parts])
-        starts = np.cumsum(lengths) - lengths
-        ids = np.concatenate(parts)
-        each = log_probabilities(model, s[ids], starts) / np.log(10) + within[ids]
-        add = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").to_numpy(), "n_tokens": lengths, "n_known": add((c > 0)[ids].astype(np.int64)), "base_score": add((np.log10(c + 0.5) - log_base)[ids]), "score": add(each)})
-
-    words = dealt.groupBy("chunk").applyInPandas(distinct_words, "chunk long, word binary").join(counts, "word")
-    out = dealt.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", (remainder("doc_id", modulus) == held_out_remainder).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    known = counted(counts, vocabulary)
+    model = fitted(training, first_model(dict(zip(known.words[: known.n_vectors], known.n.tolist())), known.class_n), known)
+    out = score_with(rows, model, known, counts)
+    return out.select("doc_id", (remainder("doc_id", modulus) == held_out_remainder).alias("held_out"), "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_with(rows: DataFrame, model: Model, known: Counts, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of rows (doc_id, text); counts: (word, n) of all training words.
+
+    A row is told from others by its partition and its place there, so rows must come in the same partitions if they are
+    read again, as files do.
+    """
+    log_base = float(np.log10(known.total + 0.5 * (known.distinct + 1)))
+    log_class = np.log10(known.class_n + 0.5 * (known.class_v + 1))
+    n_words, logs = len(known.words), np.log10(known.n + 0.5)
+    symbol_of = known.symbol_of(model)
+    # What a token adds to each score besides the model's logarithm for its symbol; a word that is not counted lacks the
+    # logarithm of its count, which the join brings.
+    own = np.append(logs, np.zeros(CLASSES))
+    add_base = own - log_base
+    add_score = np.where(symbol_of < len(model.words), 0, own - log_class[np.maximum(symbol_of - len(model.words), 0)])
+    information = "struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(known.words)
+        next_row = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
+        n_held = 0
+
+        def rows_of() -> pa.RecordBatch:
+            nonlocal next_row
+            flat, lengths = np.concatenate([x[1] for x in held]), np.array([len(x[1]) for x in held])
+            starts = np.cumsum(lengths) - lengths
+            symbols = symbol_of[flat]
+            # Long texts are scored in parts; short ones together.
+            each, group, n = [], [], 0
+            for piece in (p for a, k in zip(starts, lengths) for p in pieces(symbols[a : a + k], AT_ONCE)):
+                if group and n + len(piece[0]) > AT_ONCE:
+                    each.append(log_probabilities(model, group))
+                    group, n = [], 0
+                group.append(piece)
+                n += len(piece[0])
+            each.append(log_probabilities(model, group))
+            score = np.add.reduceat(np.concatenate(each) / np.log(10) + add_score[flat], starts)
+            info = {"doc_id": pa.array([x[0] for x in held], pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(np.add.reduceat((flat < n_words).astype(np.int64), starts)), "base": pa.array(np.add.reduceat(add_base[flat], starts)), "score": pa.array(score)}
+            offsets = pa.array(np.cumsum([0, *(len(x[2]) for x in held)]).astype(np.int32))
+            words = pa.ListArray.from_arrays(offsets, pa.array([w for x in held for w in x[2]], pa.binary()))
+            times = pa.ListArray.from_arrays(offsets, pa.array([n for x in held for n in x[2].values()], pa.int32()))
+            row = pa.array(np.arange(next_row, next_row + len(held)))
+            next_row += len(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(list(info.values()), list(info)), words, times], ["row", "info", "words", "times"])
+
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = tokens(text)
+                ids = numbers.of(found)
+                held.append((doc_id, ids, Counter([found[i] for i in np.flatnonzero(ids >= n_words).tolist()])))
+                n_held += len(ids)
+                if n_held >= 4 * AT_ONCE:
+                    yield rows_of()
+                    n_held = 0
+        if held:
+            yield rows_of()
+
+    each = rows.select("doc_id", "text").mapInArrow(scored, f"row bigint, info {information}, words array<binary>, times array<int>")
+    # One row for the document itself, whose word is none, and one for each of its words that are not counted.
+    itself = F.array(F.struct(F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("word"), F.lit(0).alias("times"), F.col("info")))
+    others = F.transform(F.arrays_zip("words", "times"), lambda x: F.struct(x["words"].alias("word"), x["times"].alias("times"), F.lit(None).cast(information).alias("info")))
+    flat = each.select("row", F.explode(F.concat(itself, others)).alias("x")).select("row", "x.*")
+    met = flat.join(counts, "word", "left")
+    added = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))
+    out = met.groupBy("row").agg(F.max("info").alias("info"), F.sum(added).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
+    return out.select("info.doc_id", "info.n_tokens", (F.col("info.n_known") + F.col("known")).alias("n_known"), (F.col("info.base") + F.col("logs")).alias("base_score"), (F.col("info.score") + F.col("logs")).alias("score"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,48 +62,128 @@ def test_a_rare_cell_does_not_shrink_the_sample(spark):
         assert {r.probability for r in mixing.mix(docs, kept=kept).select("probability").distinct().collect()} == {kept}
 
 
-def test_symbols_sum_to_one():
+def small_model(n=30, scale=1.0):
+    """A vocabulary of n words and random vectors."""
     rng = np.random.default_rng(0)
-    unigram = rng.random(bilinear.HEAD + bilinear.CLASSES)
-    unigram /= unigram.sum()
-    model = bilinear.first_model(unigram)
-    model["context"] *= 9
-    n = bilinear.HEAD + bilinear.CLASSES
-    ids = np.concatenate([[[3, 5, k] for k in range(n)]]).ravel()
-    each = bilinear.log_probabilities(model, ids, np.arange(0, 3 * n, 3)).reshape(n, 3)
-    assert np.exp(each[:, 2]).sum() == pytest.approx(1, abs=1e-5)
-    assert np.allclose(each[:, 0], each[0, 0]) and np.allclose(each[:, 1], each[0, 1])
-    # Texts do not see each other.
-    alone = bilinear.log_probabilities(model, np.array([7, 8, 9]), np.array([0]))
-    two = bilinear.log_probabilities(model, np.array([1, 7, 8, 9, 4]), np.array([0, 1, 4]))
-    assert np.allclose(alone, two[1:4])
+    counts = {f"w{i}".encode(): int(k) for i, k in enumerate(rng.integers(5, 900, n))}
+    model = bilinear.first_model(counts, rng.integers(0, 50, bilinear.CLASSES).astype(float))
+    for part in model.parts[:3]:
+        part[:, : bilinear.WIDTH] = rng.normal(0, scale, (len(part), bilinear.WIDTH))
+    return model
+
+
+def each(model, texts, most=bilinear.AT_ONCE):
+    return bilinear.log_probabilities(model, [p for t in texts for p in bilinear.pieces(np.array(t), most)])
+
+
+@pytest.mark.parametrize("scale", [0.3, 3.0])
+def test_symbols_sum_to_one(scale):
+    model = small_model(scale=scale)
+    found = each(model, [[3, 5, 9, k] for k in range(model.size)]).reshape(model.size, 4)
+    assert np.exp(found[:, 3]).sum() == pytest.approx(1, abs=1e-4)
+    assert np.allclose(found[:, :3], found[0, :3], atol=1e-4)
+    # Texts do not see each other, and a long text may be scored in parts.
+    assert np.allclose(each(model, [[7, 8, 9]]), each(model, [[1], [7, 8, 9], [4, 4]])[1:4], atol=1e-4)
+    long = np.random.default_rng(1).integers(0, model.size, 700)
+    assert np.allclose(each(model, [long]), each(model, [long], most=64), atol=1e-4)
+
+
+def loops(model, ids):
+    """Log-probabilities of a text's symbols, one by one."""
+    context, symbol, group, place = (x.astype(float) for x in model.parts)
+    out = []
+    for t, s in enumerate(ids):
+        before = lambda k: context[ids[t - k]] if t >= k else context[model.size]  # noqa: E731,B023
+        far = sum((context[ids[t - k]] for k in range(3, 19) if t >= k), np.zeros(bilinear.WIDTH + 1)) / 16
+        h = before(1) * place[0] + before(2) * place[1] + far * place[2]
+        h[bilinear.WIDTH] = 1
+        g = int(model.group_of[s])
+        members = range(model.begin[g], model.begin[g + 1])
+        share = lambda rows, at: math.log(math.exp(rows[at] @ h) / sum(math.exp(r @ h) for r in rows))  # noqa: E731,B023
+        out.append(share(group, g) + share(symbol[members.start : members.stop], s - members.start))
+    return out
+
+
+def test_probabilities_against_loops():
+    model = small_model(scale=0.4)
+    text = np.random.default_rng(2).integers(0, model.size, 60).tolist()
+    assert np.allclose(each(model, [text]), loops(model, text), atol=1e-4)
+
+
+def test_gradients_go_back_to_the_words_of_the_context():
+    rng = np.random.default_rng(3)
+    found = [p for n in (1, 5, 40) for p in bilinear.pieces(rng.integers(0, 6, n), 1000)]
+    p = bilinear.Places(found, 6)
+    place, table = rng.normal(size=(3, bilinear.WIDTH + 1)).astype(np.float32), rng.normal(size=(7, bilinear.WIDTH + 1)).astype(np.float32)
+    grad = rng.normal(size=(len(p.ids), bilinear.WIDTH + 1)).astype(np.float32) * p.text[:, None]
+    ahead = (np.einsum("kij,kj->ij", p.contexts(table), place) * grad).sum()
+    by_place, first = p.back(grad, place)
+    back = (table[p.ids[p.text]] * by_place).sum() + (table[6] * first).sum()
+    assert ahead == pytest.approx(back, rel=1e-3)
 
 
 def test_training_learns_what_follows():
     rng = np.random.default_rng(1)
-    n = bilinear.HEAD + bilinear.CLASSES
-    a = rng.integers(0, 20, 40000)
-    rows = np.stack([rng.integers(0, 20, 40000), a, (a * 7 + 3) % 20], axis=1)
-    unigram = np.full(n, 1e-6)
-    unigram[:20] = 1
-    unigram /= unigram.sum()
-    model, seen = bilinear.train(bilinear.first_model(unigram), iter(np.array_split(rows, 80)), unigram, 3)
-    assert seen == 40000
-    ids = np.concatenate([[5, k, (k * 7 + 3) % 20] for k in range(20)])
-    assert bilinear.log_probabilities(model, ids, np.arange(0, 60, 3)).reshape(20, 3)[:, 2].mean() > np.log(1 / 20) + 1
+    counts = {f"w{i}".encode(): 100 for i in range(20)}
+    start = bilinear.first_model(counts, np.zeros(bilinear.CLASSES))
+    texts = []
+    for _ in range(400):
+        x = [int(rng.integers(0, 20))]
+        for _ in range(99):
+            x.append((x[-1] * 7 + 3) % 20 if rng.random() < 0.9 else int(rng.integers(0, 20)))
+        texts.append(np.array(x))
+    batches = iter([[p for t in texts[i : i + 10] for p in bilinear.pieces(t, 1000)] for i in range(0, 400, 10)])
+    vectors, used = bilinear.train(start, batches, 3)
+    model = bilinear.Model(start.words, start.begin, start.share, vectors)
+    found = each(model, [[5, k, (k * 7 + 3) % 20] for k in range(20)]).reshape(20, 3)
+    assert found[:, 2].mean() > np.log(1 / 20) + 1
+    assert used[model.size] > 0 and used[-1] == 40000  # the vector before a text; every position
 
 
 def test_every_position_is_trained_on(monkeypatch):
-    monkeypatch.setattr(bilinear, "HELD_POSITIONS", 700)
+    monkeypatch.setattr(bilinear, "BATCH", 700)
     texts = [" ".join(f"w{i % 9}" for i in range(n)) for n in (0, 1, 50, 2000)]
-    batches = list(bilinear.shuffled(iter(texts), bilinear.Symbols([b"w0", b"w1"]), np.random.default_rng(0)))
-    assert sum(map(len, batches)) == sum(n + 1 for n in (0, 1, 50, 2000)) and max(map(len, batches)) <= bilinear.BATCH
-    symbols = bilinear.Symbols([b"w0", b"w1"])
+    numbers = bilinear.Numbers([b"w0", b"w1"])
+    symbol_of = np.arange(2 + bilinear.CLASSES)
+    batches = list(bilinear.batched(iter(texts), numbers, symbol_of))
+    got = [int(i) for b in batches for ids, lead in b for i in ids[lead:]]
+    assert got == [int(i) for t in texts for i in numbers.of(bilinear.tokens(t))]
+    assert all(len(ids) <= 700 + bilinear.REACH for b in batches for ids, _ in b)
+
+
+def test_parts_merge_by_use(spark):
+    v = lambda *x: np.array(x, dtype=np.float32).tobytes()
+    rows = [(0, 0, 1.0, v(1, 2)), (0, 700, 3.0, v(5, 2)), (9, 5, 2.0, v(7, 7))]
+    got = {r["at"]: np.frombuffer(r.v, dtype=np.float32).tolist() for r in bilinear.merged(spark.createDataFrame(rows, "at int, part int, weight double, v binary")).collect()}
+    assert got == {0: [4.0, 2.0], 9: [7.0, 7.0]}
+
+
+def test_scores_against_loops(spark):
+    """The whole score: the model's symbols, the counts of the words in a class, and words that are not counted."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["w1", "w2", "W3", "rare1", "rare2", "odd", "new"]) for _ in range(n)) for n in (0, 1, 7, 60)]
+    model = small_model()
+    train = {b"rare1": 4, b"rare2": 3, b"odd": 1} | {w: 50 for w in model.words}
+    top = sorted(model.words) + [b"rare1", b"rare2"]  # odd is left to the join
+    k = len(model.words)
+    class_n, class_v = np.zeros(bilinear.CLASSES), np.zeros(bilinear.CLASSES)
+    for w in (b"rare1", b"rare2", b"odd"):
+        class_n[bilinear.class_of(w)] += train[w]
+        class_v[bilinear.class_of(w)] += 1
+    total, distinct = sum(train.values()), len(train)
+    known = bilinear.Counts(total, distinct, top, np.array([train[w] for w in top]), k, class_n, class_v)
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in train.items()], "word binary, n long")
     want = []
     for t in texts:
-        ids = [bilinear.START, bilinear.START, *(symbols[w] for w in bilinear.tokens(t))]
-        want += zip(ids, ids[1:], ids[2:])
-    assert sorted(map(tuple, np.concatenate(batches).tolist())) == sorted(want)
+        words = bilinear.tokens(t)
+        ids = [model.words.index(w) if w in model.words else k + bilinear.class_of(w) for w in words]
+        score = sum(loops(model, ids)) / math.log(10)
+        score += sum(math.log10((train.get(w, 0) + 0.5) / (class_n[i - k] + 0.5 * (class_v[i - k] + 1))) for w, i in zip(words, ids) if i >= k)
+        base = sum(math.log10((train.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
+        want.append((len(words), sum(w in train for w in words), base, score))
+    got = sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in bilinear.score_with(docs, model, known, counts).collect())
+    assert np.allclose(got, sorted(want), atol=1e-3)
 
 
 def test_lm_scores_and_base(spark):
@@ -127,8 +207,12 @@ def test_lm_scores_and_base(spark):
     assert sorted((r.doc_id or -1 if r.doc_id is None else r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score <= 1e-9 and math.isfinite(r.score) for r in got)
     assert bilinear.score_texts(docs.limit(0)).count() == 0
+    # A very long text, and columns whose names clash.
+    odd = spark.createDataFrame([(1, "word " * 100_000, 1.0, "x"), (2, "word other", 2.0, "y")], "doc_id long, text string, score double, word string")
+    assert {r.doc_id: r.n_tokens for r in bilinear.score_texts(odd).collect()} == {1: 100_001, 2: 3}
 
 
 def test_lm_beats_unigrams_on_held_out(spark):
     got = bilinear.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    gain = (sum(r.score for r in got) - sum(r.base_score for r in got)) / sum(r.n_tokens for r in got)
+    assert gain > 0.2
