@@ -19,13 +19,13 @@ document are joined with their counts, and the sums come back to it. Texts are n
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,34 +45,67 @@ MEAN, REACH, ROUNDS = 16, 18, 2
 RATE = 0.05
 #: Places that are scored at a time.
 AT_ONCE = 32_768
-#: Distinct words a counting task holds before it sends them on.
-HELD_WORDS = 400_000
+#: Bytes of texts that are split into words at a time, in counting and in training or scoring.
+COUNTED_BYTES, READ_BYTES = 32_000_000, 8_000_000
 #: Vectors of a merging group, and parts that one merging step takes together.
 MERGED_ROWS, FAN = 512, 256
 END = b" "  # no word holds white space
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words in lower case (A-Z only) as UTF-8, and END."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
-
-
 def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-class Numbers(dict):
-    """Word -> its place among the counted words, or their number plus the word's class."""
+#: class_of by a word's last two bytes (times 256, plus the last), and by the byte of a word that has one.
+BY_TWO = np.array([zlib.crc32(bytes((i // 256, i % 256))) % CLASSES for i in range(65536)])
+BY_ONE = np.array([zlib.crc32(bytes((i,))) % CLASSES for i in range(256)])
 
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words))))
-        self.n_words = len(words)
 
-    def __missing__(self, word: bytes) -> int:
-        return self.n_words + class_of(word)
+def portions(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(from, number) of texts that hold `most` bytes together, or one."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        yield at, max(1, stop - at)
+        at += max(1, stop - at)
+
 
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' words in lower case (A-Z only) as UTF-8, end to end, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, starts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text gives empty ones
+    n = np.add.reduceat(filled.astype(np.int64), np.cumsum(starts) - starts) if len(starts) else starts
+    return (flat if filled.all() else flat.filter(pa.array(filled))).cast(pa.binary()), n
+
+
+class Numbers:
+    """The number of a word: its place among the counted words (END is one), or their number plus the word's class."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.n_words = pa.array(words, pa.binary()), len(words)
+        self.end = words.index(END)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Numbers of the texts' tokens end to end, END after each text's words; tokens by text; the words that are not
+        counted, end to end; and their number by text."""
+        words, n = split_words(texts)
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = found < 0
+        other = words.filter(pa.array(unknown))
+        at = np.frombuffer(other.buffers()[1], dtype=np.int32)[other.offset : other.offset + len(other) + 1] if len(other) else np.zeros(1, dtype=np.int32)
+        if len(other):
+            data = np.frombuffer(other.buffers()[2], dtype=np.uint8)
+            last, before = data[at[1:] - 1], data[np.maximum(at[1:] - 2, 0)].astype(np.int64)
+            found[unknown] = self.n_words + np.where(np.diff(at) > 1, BY_TWO[before * 256 + last], BY_ONE[last])
+        out = np.empty(len(found) + len(n), dtype=np.int64)
+        ends = np.cumsum(n + 1) - 1
+        is_word = np.ones(len(out), dtype=bool)
+        is_word[ends] = False
+        out[ends], out[is_word] = self.end, found
+        owner = np.repeat(np.arange(len(n)), n)
+        return out, n + 1, other, np.bincount(owner[unknown], minlength=len(n))
 
 
 @dataclass
@@ -154,7 +187,7 @@ class Places:
         return out
 
     def back(self, grad: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the context vectors of the text's places, and of the vector before a text."""
+        """Gradients of the context vectors of all places, and of the vector before a text."""
         out = np.zeros_like(grad)
         out[:-1] = grad[1:] * place[0]
         out[:-2] += grad[2:] * place[1]
@@ -163,11 +196,20 @@ class Places:
         for width in (1, 2, 4, 8):
             sums[:-width] = sums[:-width] + sums[width:]
         out[:-3] += sums[3:] * (place[2] / MEAN)
-        return out[self.text], first
+        return out, first
 
 
 def sigma(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """The logistic function, in place; exp overflows to the right limit."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def firsts(sorted_numbers: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.append(True, sorted_numbers[1:] != sorted_numbers[:-1]))
 
 
 def states(seen: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -179,11 +221,13 @@ def states(seen: np.ndarray, place: np.ndarray) -> np.ndarray:
     return h
 
 
+@np.errstate(over="ignore")
 def train(model: Model, batches: Iterator[list[tuple[np.ndarray, int]]], seed: int, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
     """Vectors after Adagrad on noise-contrastive estimates, and how often each was used.
 
     For its group, a place competes with GROUP_NOISE groups drawn by share for the whole batch; for its symbol, with NOISE
-    symbols drawn by share in its group. Places of one group are taken in runs, so the products are dense.
+    symbols drawn by share in its group. The places of a batch are sorted by symbol and so by group, and those of one
+    group are taken in runs, so sums are over neighbours and products are dense.
     """
     m = Model(model.words, model.begin, model.share, model.vectors.copy())
     context, symbol, group, place = m.parts
@@ -199,18 +243,25 @@ def train(model: Model, batches: Iterator[list[tuple[np.ndarray, int]]], seed: i
     low, high = upto[m.begin[:-1]], upto[m.begin[1:]]
     small = np.uint16 if len(m.vectors) < 65536 else np.int64  # sorts faster
 
-    def step(at: np.ndarray, grad: np.ndarray, weight: np.ndarray | None = None) -> None:
+    def move(rows: np.ndarray, total: np.ndarray, weight: np.ndarray) -> None:
+        used[rows] += weight
+        total_squares = squares[rows]
+        total_squares += total * total
+        squares[rows] = total_squares
+        m.vectors[rows] += rate * total / np.sqrt(total_squares)
+
+    def move_sorted(at: np.ndarray, grad: np.ndarray) -> None:
+        first = firsts(at)
+        move(at[first], np.add.reduceat(grad, first, axis=0), np.diff(np.append(first, len(at))))
+
+    def move_any(at: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(at.astype(small), kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        total, rows = np.add.reduceat(grad[order], first, axis=0), at[first]
-        used[rows] += np.diff(np.append(first, len(at))) if weight is None else np.add.reduceat(weight[order], first)
-        squares[rows] += total * total
-        m.vectors[rows] += rate * total / np.sqrt(squares[rows])
+        move_sorted(at[order], grad[order])
 
     for batch in batches:
         p = Places(batch, m.size)
         real = np.flatnonzero(p.real)
+        real = real[np.argsort(p.ids[real].astype(small), kind="stable")]
         seen, target = p.contexts(context)[:, real], p.ids[real]
         h = states(seen, place)
         own = group_of[target]
@@ -220,50 +271,62 @@ def train(model: Model, batches: Iterator[list[tuple[np.ndarray, int]]], seed: i
         dt = 1 - sigma(np.einsum("ij,ij->i", h, vt) - log_group[own])
         dn = -sigma(h @ vn.T - log_group[noise])
         grad = dn @ vn
-        grad += dt[:, None] * vt
-        group_step = np.append(own, noise) + at_group, np.concatenate([dt[:, None] * h, dn.T @ h])
-        # The symbol in it: places sorted by group, cut into runs, all with the group's noise.
-        order = np.argsort(own.astype(small), kind="stable")
+        vt *= dt[:, None]
+        grad += vt
+        by_noise = dn.T @ h
+        by_own = dt[:, None] * h
+        # The symbol in it: runs of places of one group, all with the group's noise.
         n_own = np.bincount(own, minlength=n_groups)
         n_runs = -(-n_own // RUN)
         of_run = np.repeat(np.arange(n_groups), n_runs)
         nth = np.arange(len(of_run)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
         rows = (np.cumsum(n_own) - n_own)[of_run][:, None] + (nth * RUN)[:, None] + np.arange(RUN)
         held = rows < np.cumsum(n_own)[of_run][:, None]
-        rows = order[np.minimum(rows, len(order) - 1)]
+        np.minimum(rows, len(own) - 1, out=rows)
         drawn = np.searchsorted(upto, low[:, None] + rng.random((n_groups, NOISE)) * (high - low)[:, None], side="right") - 1
         drawn = np.clip(drawn, m.begin[:-1, None], m.begin[1:, None] - 1)
-        hs, vs = h[rows], symbol[drawn[of_run]]
-        ds = -sigma(hs @ vs.transpose(0, 2, 1) - log_symbol[drawn[of_run]][:, None])
-        ds *= held[..., None]
-        grad[rows[held]] += (ds @ vs)[held]
+        hs, vs = h[rows], symbol[drawn][of_run]
+        ds = sigma(hs @ vs.transpose(0, 2, 1) - log_symbol[drawn][of_run][:, None])
+        ds *= -held[..., None].astype(np.float32)
+        grad += (ds @ vs)[held]  # runs hold the places in order
+        by_drawn = np.add.reduceat(ds.transpose(0, 2, 1) @ hs, firsts(of_run), axis=0)
         vt = symbol[target]
         dt = 1 - sigma(np.einsum("ij,ij->i", h, vt) - log_symbol[target])
-        grad += dt[:, None] * vt
-        by_run = ds.transpose(0, 2, 1) @ hs
-        step(np.append(target, drawn[of_run].ravel()) + at_symbol, np.concatenate([dt[:, None] * h, by_run.reshape(-1, WIDTH + 1)]))
-        step(*group_step)
+        vt *= dt[:, None]
+        grad += vt
+        h *= dt[:, None]
+        move_sorted(target + at_symbol, h)
+        move_any(drawn[n_own > 0].ravel() + at_symbol, by_drawn.reshape(-1, WIDTH + 1))
+        move_sorted(own + at_group, by_own)
+        move_any(noise + at_group, by_noise)
         # The context.
         grad[:, WIDTH] = 0
         of_place = np.einsum("kij,ij->kj", seen, grad)
         whole = np.zeros((len(p.ids), WIDTH + 1), dtype=np.float32)
         whole[real] = grad
-        by_symbol, first = p.back(whole, place)
-        step(np.append(p.ids[p.text], m.size), np.concatenate([by_symbol, first[None]]))
-        step(at_place + np.arange(3), of_place / np.float32(len(real) ** 0.5), np.full(3, len(real)))
+        by_place, first = p.back(whole, place)
+        move(np.array([m.size]), first[None], np.array([1.0]))
+        move_sorted(target, by_place[real])
+        if len(leads := np.flatnonzero(p.text & ~p.real)):
+            move_any(p.ids[leads], by_place[leads])
+        move(at_place + np.arange(3), of_place / np.float32(len(real) ** 0.5), np.full(3, len(real)))
     return m.vectors, used
 
 
-def batched(texts: Iterator[str], numbers: Numbers, symbol_of: np.ndarray) -> Iterator[list[tuple[np.ndarray, int]]]:
-    """All positions of the texts, in batches of some BATCH places."""
+def batched(columns: Iterator[pa.Array], numbers: Numbers, symbol_of: np.ndarray) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """All positions of columns of texts, in batches of some BATCH places."""
     held, n = [], 0
-    for text in texts:
-        for piece in pieces(symbol_of[numbers.of(tokens(text))], BATCH):
-            held.append(piece)
-            n += len(piece[0])
-            if n >= BATCH:
-                yield held
-                held, n = [], 0
+    for column in columns:
+        for low, count in portions(column, READ_BYTES):
+            found, lengths, _, _ = numbers.of(column.slice(low, count))
+            symbols, ends = symbol_of[found], np.cumsum(lengths)
+            for start, end in zip((ends - lengths).tolist(), ends.tolist()):
+                for piece in pieces(symbols[start:end], BATCH):
+                    held.append(piece)
+                    n += len(piece[0])
+                    if n >= BATCH:
+                        yield held
+                        held, n = [], 0
     if held:
         yield held
 
@@ -295,22 +358,14 @@ def log_probabilities(model: Model, found: list[tuple[np.ndarray, int]]) -> np.n
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """word (binary), n: counts of all tokens of the training texts, END included; summed in the tasks first."""
+    """word (binary), n: counts of all tokens of the training texts, END included; summed over many texts in the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.update(tokens(text))
-                if len(held) >= HELD_WORDS:
-                    yield rows()
-                    held.clear()
-        if held:
-            yield rows()
+            for low, n in portions(b.column(0), COUNTED_BYTES):
+                found = pc.value_counts(split_words(b.column(0).slice(low, n))[0])
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([n], pa.int64())], ["word", "n"])
 
     return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -334,8 +389,8 @@ def merged(parts: DataFrame) -> DataFrame:
 
 @dataclass
 class Counts:
-    """What of the corpus' counts is sent: total and distinct tokens; the counted words, most frequent first, and their counts;
-    tokens and distinct words by class, of all words without a vector (n_vectors of the counted ones have one)."""
+    """What of the corpus' counts is sent: total and distinct tokens; the counted words, most frequent first, END among them,
+    and their counts; tokens and distinct words by class, of all words without a vector (n_vectors of the counted ones have one)."""
 
     total: int
     distinct: int
@@ -354,8 +409,20 @@ class Counts:
 
 def counted(counts: DataFrame, vocabulary: int) -> Counts:
     in_class = (F.crc32(F.substring("word", -2, 2)) % CLASSES).cast("int")
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(max(COUNTED, vocabulary)).toPandas()
+    # Words by sixteenths of powers of two of their counts: a few hundred rows tell from which count on they are sent, so that
+    # tasks return no more of them than that.
+    scale = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r.b, r.n) for r in counts.filter("n > 1").groupBy(scale.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, sent = 10**6, 0
+    for b, k in sizes:
+        if sent + k > max(COUNTED, vocabulary):
+            break
+        least, sent = b, sent + k
+    top = counts.filter("n > 1").filter(scale >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, n = [bytes(w) for w in top["word"]], top["n"].to_numpy(dtype=np.int64)
+    if END not in words:  # it is counted always, since it stands in every text
+        own = counts.filter(F.col("word") == F.lit(END)).first()
+        words, n = [*words, END], np.append(n, own.n if own else 0)
     n_vectors = min(vocabulary, int((n >= LEAST_COUNT).sum()))
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.groupBy(in_class.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -375,7 +442,7 @@ def fitted(training: DataFrame, start: Model, known: Counts, rounds: int = ROUND
 
         def learn(batches: Iterator[pa.RecordBatch], now: Model = now) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
-            found, used = train(now, batched((t for b in batches for t in b.column(0).to_pylist()), Numbers(known.words), symbol_of), part)
+            found, used = train(now, batched((b.column(0) for b in batches), Numbers(known.words), symbol_of), part)
             rows = np.flatnonzero(used)
             if len(rows):
                 v = pa.array([x.tobytes() for x in found[rows]], pa.binary())
@@ -413,65 +480,47 @@ def score_with(rows: DataFrame, model: Model, known: Counts, counts: DataFrame)
     """
     log_base = float(np.log10(known.total + 0.5 * (known.distinct + 1)))
     log_class = np.log10(known.class_n + 0.5 * (known.class_v + 1))
-    n_words, logs = len(known.words), np.log10(known.n + 0.5)
+    logs = np.log10(known.n + 0.5)
     symbol_of = known.symbol_of(model)
     # What a token adds to each score besides the model's logarithm for its symbol; a word that is not counted lacks the
     # logarithm of its count, which the join brings.
     own = np.append(logs, np.zeros(CLASSES))
     add_base = own - log_base
     add_score = np.where(symbol_of < len(model.words), 0, own - log_class[np.maximum(symbol_of - len(model.words), 0)])
+    is_known = np.append(known.n > 0, np.zeros(CLASSES, dtype=bool)).astype(np.int64)
     information = "struct<doc_id: bigint, n_tokens: bigint, n_known: bigint, base: double, score: double>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(known.words)
         next_row = TaskContext.get().partitionId() << 40
-        held: list[tuple] = []
-        n_held = 0
-
-        def rows_of() -> pa.RecordBatch:
-            nonlocal next_row
-            flat, lengths = np.concatenate([x[1] for x in held]), np.array([len(x[1]) for x in held])
-            starts = np.cumsum(lengths) - lengths
-            symbols = symbol_of[flat]
-            # Long texts are scored in parts; short ones together.
-            each, group, n = [], [], 0
-            for piece in (p for a, k in zip(starts, lengths) for p in pieces(symbols[a : a + k], AT_ONCE)):
-                if group and n + len(piece[0]) > AT_ONCE:
-                    each.append(log_probabilities(model, group))
-                    group, n = [], 0
-                group.append(piece)
-                n += len(piece[0])
-            each.append(log_probabilities(model, group))
-            score = np.add.reduceat(np.concatenate(each) / np.log(10) + add_score[flat], starts)
-            info = {"doc_id": pa.array([x[0] for x in held], pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(np.add.reduceat((flat < n_words).astype(np.int64), starts)), "base": pa.array(np.add.reduceat(add_base[flat], starts)), "score": pa.array(score)}
-            offsets = pa.array(np.cumsum([0, *(len(x[2]) for x in held)]).astype(np.int32))
-            words = pa.ListArray.from_arrays(offsets, pa.array([w for x in held for w in x[2]], pa.binary()))
-            times = pa.ListArray.from_arrays(offsets, pa.array([n for x in held for n in x[2].values()], pa.int32()))
-            row = pa.array(np.arange(next_row, next_row + len(held)))
-            next_row += len(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(list(info.values()), list(info)), words, times], ["row", "info", "words", "times"])
-
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = tokens(text)
-                ids = numbers.of(found)
-                held.append((doc_id, ids, Counter([found[i] for i in np.flatnonzero(ids >= n_words).tolist()])))
-                n_held += len(ids)
-                if n_held >= 4 * AT_ONCE:
-                    yield rows_of()
-                    n_held = 0
-        if held:
-            yield rows_of()
-
-    each = rows.select("doc_id", "text").mapInArrow(scored, f"row bigint, info {information}, words array<binary>, times array<int>")
+            for low, count in portions(b.column(1), READ_BYTES):
+                found, lengths, other, n_other = numbers.of(b.column(1).slice(low, count))
+                symbols, ends = symbol_of[found], np.cumsum(lengths)
+                # Long texts are scored in parts; short ones together.
+                each, group, n = [], [], 0
+                for piece in (p for start, end in zip((ends - lengths).tolist(), ends.tolist()) for p in pieces(symbols[start:end], AT_ONCE)):
+                    if group and n + len(piece[0]) > AT_ONCE:
+                        each.append(log_probabilities(model, group))
+                        group, n = [], 0
+                    group.append(piece)
+                    n += len(piece[0])
+                each.append(log_probabilities(model, group))
+                sums = lambda x: pa.array(np.add.reduceat(x, ends - lengths))  # noqa: E731,B023
+                info = {"doc_id": b.column(0).slice(low, count), "n_tokens": pa.array(lengths), "n_known": sums(is_known[found]), "base": sums(add_base[found]), "score": sums(np.concatenate(each) / np.log(10) + add_score[found])}
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_other)]).astype(np.int32)), other)
+                row = pa.array(np.arange(next_row, next_row + count))
+                next_row += count
+                yield pa.RecordBatch.from_arrays([row, pa.StructArray.from_arrays(list(info.values()), list(info)), words], ["row", "info", "words"])
+
+    each = rows.select("doc_id", "text").mapInArrow(scored, f"row bigint, info {information}, words array<binary>")
     # One row for the document itself, whose word is none, and one for each of its words that are not counted.
-    itself = F.array(F.struct(F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("word"), F.lit(0).alias("times"), F.col("info")))
-    others = F.transform(F.arrays_zip("words", "times"), lambda x: F.struct(x["words"].alias("word"), x["times"].alias("times"), F.lit(None).cast(information).alias("info")))
+    itself = F.array(F.struct(F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("word"), F.col("info")))
+    others = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(None).cast(information).alias("info")))
     flat = each.select("row", F.explode(F.concat(itself, others)).alias("x")).select("row", "x.*")
     met = flat.join(counts, "word", "left")
-    added = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))
-    out = met.groupBy("row").agg(F.max("info").alias("info"), F.sum(added).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
+    added = F.when(F.col("info").isNull(), F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).otherwise(0.0)
+    out = met.groupBy("row").agg(F.max("info").alias("info"), F.sum(added).alias("logs"), F.count("n").alias("known"))
     return out.select("info.doc_id", "info.n_tokens", (F.col("info.n_known") + F.col("known")).alias("n_known"), (F.col("info.base") + F.col("logs")).alias("base_score"), (F.col("info.score") + F.col("logs")).alias("score"))
 
 

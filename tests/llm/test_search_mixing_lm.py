@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reckon.llm import bilinear, maxscore, mixing
@@ -118,7 +119,7 @@ def test_gradients_go_back_to_the_words_of_the_context():
     grad = rng.normal(size=(len(p.ids), bilinear.WIDTH + 1)).astype(np.float32) * p.text[:, None]
     ahead = (np.einsum("kij,kj->ij", p.contexts(table), place) * grad).sum()
     by_place, first = p.back(grad, place)
-    back = (table[p.ids[p.text]] * by_place).sum() + (table[6] * first).sum()
+    back = (table[p.ids[p.text]] * by_place[p.text]).sum() + (table[6] * first).sum()
     assert ahead == pytest.approx(back, rel=1e-3)
 
 
@@ -133,21 +134,39 @@ def test_training_learns_what_follows():
             x.append((x[-1] * 7 + 3) % 20 if rng.random() < 0.9 else int(rng.integers(0, 20)))
         texts.append(np.array(x))
     batches = iter([[p for t in texts[i : i + 10] for p in bilinear.pieces(t, 1000)] for i in range(0, 400, 10)])
-    vectors, used = bilinear.train(start, batches, 3)
+    vectors, used = bilinear.train(start, batches, 3, rate=0.15)
     model = bilinear.Model(start.words, start.begin, start.share, vectors)
     found = each(model, [[5, k, (k * 7 + 3) % 20] for k in range(20)]).reshape(20, 3)
     assert found[:, 2].mean() > np.log(1 / 20) + 1
     assert used[model.size] > 0 and used[-1] == 40000  # the vector before a text; every position
 
 
+def tokens(text):
+    return [*text.encode().lower().split(), bilinear.END]
+
+
+def test_numbers_of_words():
+    texts = ["", "  ", "W0 w1\tW0", " É\x0bodd\x0cx ÉÀ\x1cy a\n", "w1"]
+    known = [b"w0", bilinear.END, b"w1"]
+    numbers = bilinear.Numbers(known)
+    found, lengths, other, n_other = numbers.of(pa.array(texts))
+    words = [w for t in texts for w in tokens(t)]
+    assert found.tolist() == [known.index(w) if w in known else 3 + bilinear.class_of(w) for w in words]
+    assert lengths.tolist() == [len(tokens(t)) for t in texts]
+    assert other.to_pylist() == [w for w in words if w not in known]
+    assert n_other.tolist() == [0, 0, 0, 5, 0]
+    assert list(bilinear.portions(pa.array(texts), 9)) == [(0, 2), (2, 1), (3, 1), (4, 1)]
+
+
 def test_every_position_is_trained_on(monkeypatch):
     monkeypatch.setattr(bilinear, "BATCH", 700)
+    monkeypatch.setattr(bilinear, "READ_BYTES", 300)
     texts = [" ".join(f"w{i % 9}" for i in range(n)) for n in (0, 1, 50, 2000)]
-    numbers = bilinear.Numbers([b"w0", b"w1"])
-    symbol_of = np.arange(2 + bilinear.CLASSES)
-    batches = list(bilinear.batched(iter(texts), numbers, symbol_of))
+    numbers = bilinear.Numbers([b"w0", b"w1", bilinear.END])
+    symbol_of = np.arange(3 + bilinear.CLASSES)
+    batches = list(bilinear.batched(iter([pa.array(texts[:2]), pa.array(texts[2:])]), numbers, symbol_of))
     got = [int(i) for b in batches for ids, lead in b for i in ids[lead:]]
-    assert got == [int(i) for t in texts for i in numbers.of(bilinear.tokens(t))]
+    assert got == numbers.of(pa.array(texts))[0].tolist() and len(got) == sum(n + 1 for n in (0, 1, 50, 2000))
     assert all(len(ids) <= 700 + bilinear.REACH for b in batches for ids, _ in b)
 
 
@@ -164,19 +183,19 @@ def test_scores_against_loops(spark):
     texts = [" ".join(rng.choice(["w1", "w2", "W3", "rare1", "rare2", "odd", "new"]) for _ in range(n)) for n in (0, 1, 7, 60)]
     model = small_model()
     train = {b"rare1": 4, b"rare2": 3, b"odd": 1} | {w: 50 for w in model.words}
-    top = sorted(model.words) + [b"rare1", b"rare2"]  # odd is left to the join
+    top = sorted(model.words) + [b"rare1", b"rare2", bilinear.END]  # odd is left to the join, and the end was never seen
     k = len(model.words)
     class_n, class_v = np.zeros(bilinear.CLASSES), np.zeros(bilinear.CLASSES)
     for w in (b"rare1", b"rare2", b"odd"):
         class_n[bilinear.class_of(w)] += train[w]
         class_v[bilinear.class_of(w)] += 1
     total, distinct = sum(train.values()), len(train)
-    known = bilinear.Counts(total, distinct, top, np.array([train[w] for w in top]), k, class_n, class_v)
+    known = bilinear.Counts(total, distinct, top, np.array([train.get(w, 0) for w in top]), k, class_n, class_v)
     docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
     counts = spark.createDataFrame([(bytearray(w), n) for w, n in train.items()], "word binary, n long")
     want = []
     for t in texts:
-        words = bilinear.tokens(t)
+        words = tokens(t)
         ids = [model.words.index(w) if w in model.words else k + bilinear.class_of(w) for w in words]
         score = sum(loops(model, ids)) / math.log(10)
         score += sum(math.log10((train.get(w, 0) + 0.5) / (class_n[i - k] + 0.5 * (class_v[i - k] + 1))) for w, i in zip(words, ids) if i >= k)
