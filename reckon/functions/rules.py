@@ -5,6 +5,7 @@ from __future__ import annotations
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reckon.sources.files import canonical_json
 
@@ -52,3 +53,18 @@ def clause_table(spark: SparkSession, payload: dict) -> DataFrame:
         for r in payload["rules"] for j, c in enumerate(r["clauses"])
     ]
     return spark.createDataFrame(rows, CLAUSES)
+
+
+def conflicts(clauses: DataFrame) -> DataFrame:
+    """(kind, rule_ids): rule ids with several definitions, and exclusive rules that own one exact literal in a common scope.
+
+    clauses: the rule table with content_hash by definition and exclusive. An empty scope is every scope; objects and stages must
+    both overlap. Rules meet by literal, so only those that share one are compared.
+    """
+    twice = clauses.groupBy("rule_id").agg(F.count_distinct("definition").alias("n")).filter("n > 1").select(F.lit("DUPLICATE_RULE_ID").alias("kind"), F.array_repeat("rule_id", F.col("n").cast("int")).alias("rule_ids"))
+    owned = clauses.filter("exclusive and action = 'include' and match_kind = 'exact'").select("rule_id", F.lower("literal").alias("literal"), "object_scopes", "stages").distinct()
+    a, b = owned.alias("a"), owned.alias("b")
+    overlap = lambda k: (F.size(F.col(f"a.{k}")) == 0) | (F.size(F.col(f"b.{k}")) == 0) | F.arrays_overlap(F.col(f"a.{k}"), F.col(f"b.{k}"))
+    pairs = a.join(b, F.col("a.literal") == F.col("b.literal")).filter("a.rule_id < b.rule_id").filter(overlap("object_scopes") & overlap("stages"))
+    shared = pairs.select(F.lit("EXCLUSIVE_SCOPE_OVERLAP").alias("kind"), F.array("a.rule_id", "b.rule_id").alias("rule_ids")).distinct()
+    return twice.unionByName(shared)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reckon.functions.numeric import MONEY
@@ -225,3 +225,25 @@ def validate_cards(rows: DataFrame, published: DataFrame) -> DataFrame:
     out = own.join(published.select("object_index", "category", F.struct("unit", "quantity", "total_cost").alias("b")), ["object_index", "category"], "full_outer")
     error = F.when(F.col("b").isNull(), "SUMMARY_MISSING").when(F.col("a").isNull(), "SUMMARY_WITHOUT_ROWS").when(~F.col("a").eqNullSafe(F.col("b")), "SUMMARY_DIFFERS")
     return out.select("object_index", "category", error.alias("error")).filter("error is not null")
+
+
+def layout_issues(layouts: DataFrame, cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """(object_index, error) where a published card's layout, counts or cells contradict its plan.
+
+    layouts: object_index, start_row, end_row, drawing_code (a block each). cells: object_index, row, kind, value. rows: object_index,
+    drawing_code. Blocks of one object must not overlap nor lie outside its cells; objects and drawings must be those of the
+    rows; a cell with an error value, or a number with a binary tail, fails.
+    """
+    w = Window.partitionBy("object_index").orderBy("start_row", "end_row")
+    overlap = layouts.withColumn("_before", F.max("end_row").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("start_row") <= F.col("_before")).select("object_index", F.concat(F.lit("BLOCKS_OVERLAP:"), "drawing_code").alias("error"))
+    turned = layouts.filter("end_row < start_row").select("object_index", F.concat(F.lit("BLOCK_TURNED:"), "drawing_code").alias("error"))
+    planned = layouts.groupBy("object_index").agg(F.count_distinct("drawing_code").alias("a"))
+    there = rows.groupBy("object_index").agg(F.count_distinct("drawing_code").alias("b"))
+    both = planned.join(there, "object_index", "full_outer")
+    counts = both.filter(~F.coalesce("a", F.lit(0)).eqNullSafe(F.coalesce("b", F.lit(0)))).select("object_index", F.concat(F.lit("DRAWING_COUNT:"), F.coalesce("b", F.lit(0)), F.lit("!="), F.coalesce("a", F.lit(0))).alias("error"))
+    broken = cells.filter("kind = 'error'").select("object_index", F.concat(F.lit("FORMULA_ERROR:"), "row", F.lit(":"), "value").alias("error"))
+    tail = cells.filter((F.col("kind") == "number") & F.col("value").rlike(r"\.[0-9]*(?:0{6,}[1-9][0-9]?|9{6,}[0-9]{1,2})$")).select("object_index", F.concat(F.lit("BINARY_FLOAT_SERIALIZATION:"), "row", F.lit(":"), "value").alias("error"))
+    out = overlap
+    for other in (turned, counts, broken, tail):
+        out = out.unionByName(other)
+    return out

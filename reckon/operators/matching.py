@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+
+from reckon.operators.bounded import sent
 
 #: Strategies from best to worst, with their confidence.
 STRATEGIES = {
@@ -29,6 +34,8 @@ KEYS = {
     "normalized_name_unit": ("work_name", "unit"),
 }
 CONFIDENCE = "decimal(8,6)"
+#: Names of a block.
+NAME_BLOCK = 2048
 
 
 def equi_pairs(sources: DataFrame, targets: DataFrame, strategy: str) -> DataFrame:
@@ -78,13 +85,13 @@ def scope_matches(rule: str, object_code: Column, stage: Column, process: Column
 def rule_pairs(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> DataFrame:
     """Pairs that an approved rule's clause joins, with rule_ids, blockers, manual and confidence.
 
-    clauses: the rule table, one row a clause; it is configuration of bounded size (files up to 1 MiB), so it is sent to all
-    executors. Sources meet clauses by name and unit, targets meet them by scope, and the two meet by clause: an
+    clauses: the rule table, one row a clause; it is configuration (files up to 1 MiB) whose size is checked before it is sent to
+    all executors. Sources meet clauses by name and unit, targets meet them by scope, and the two meet by clause: an
     equi-join that makes the wanted pairs and no others. A clause with very many sources is a skewed key that adaptive
     execution splits.
     """
     live = clauses.filter("owner_approved and status = 'approved'").withColumn("clause", F.xxhash64(F.to_json(F.struct(*clauses.columns))))
-    live = F.broadcast(live).alias("c")
+    live = sent(live, "rule clauses").alias("c")
     hit = sources.alias("s").join(live, clause_matches("c", F.col("s.work_name"), F.col("s.unit")) & _listed("c", "scope_units", F.col("s.unit"))).select("s.source_row_id", "c.clause", "c.rule_id", "c.action", "c.match_kind")
     meant = targets.alias("t").join(live, target_scope("c", F.col("t.object_code"), F.col("t.stage"), F.col("t.work_name"))).select("t.target_row_id", "c.clause")
     pairs = hit.join(meant, "clause")
@@ -99,41 +106,55 @@ def rule_pairs(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> Da
     )
 
 
-@F.pandas_udf(DecimalType(8, 6))
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def sequence_ratio(a: str, b: str) -> Decimal:
     """Twice the characters in matching blocks over all characters (longest block first, both sides recursively)."""
-    from decimal import Decimal
-    from difflib import SequenceMatcher
+    same = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    return (Decimal(2 * same) / Decimal(len(a) + len(b))).quantize(Decimal("0.000001"))
 
-    def ratio(a, b):
-        if not a or not b:
-            return None
-        same = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-        return (Decimal(2 * same) / Decimal(len(a) + len(b))).quantize(Decimal("0.000001"))
 
-    return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype=object)
+def letter_counts(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix of the counts of characters (dealt to 64 columns by code), and the lengths."""
+    out = np.zeros((len(names), 64), dtype=np.uint16)
+    for i, name in enumerate(names):
+        np.add.at(out[i], np.fromiter(map(ord, name), dtype=np.int64, count=len(name)) % 64, 1)
+    return out, np.array([len(x) for x in names])
 
 
 def fuzzy_names(names_a: DataFrame, names_b: DataFrame, threshold: str = "0.750000") -> DataFrame:
     """(source_name, target_name, score) of distinct, different names with a score of threshold or more.
 
     Two names of lengths a and b cannot score above 2 min/(a+b), and share at least as many characters (as a
-    multiset) as match; both tests come before the score and lose nothing. Names meet by length bands, not all with
-    all, and each distinct pair is scored once.
+    multiset) as match; both tests come before the score and lose nothing. Lengths are dealt into bands so wide that
+    names that can match lie in one band or in neighbours; the names of a band are dealt into blocks of bounded
+    size, and blocks meet blocks in tasks of their own. Each distinct pair is scored once.
     """
     least = float(threshold) - 5e-7
-    low, high = least / (2 - least), (2 - least) / least
-    a = names_a.select(F.col("work_name").alias("source_name")).filter("source_name <> ''").distinct().withColumn("n", F.length("source_name"))
-    b = names_b.select(F.col("work_name").alias("target_name")).filter("target_name <> ''").distinct().withColumn("m", F.length("target_name"))
-    spread = F.explode(F.sequence(F.ceil(F.col("n") * low).cast("int"), F.floor(F.col("n") * high).cast("int"))).alias("m")
-    pairs = a.select("source_name", "n", spread).join(b, "m").filter("source_name <> target_name")
-    left, right = F.split("source_name", ""), F.split("target_name", "")
-    letters = lambda x: F.array_distinct(x)
-    count = lambda x, c: F.size(F.filter(x, lambda y: y == c))
-    shared = F.aggregate(F.array_intersect(letters(left), letters(right)), F.lit(0), lambda s, c: s + F.least(count(left, c), count(right, c)))
-    close = pairs.filter(2 * shared >= least * (F.col("n") + F.col("m")))
-    scored = close.select("source_name", "target_name", sequence_ratio("source_name", "target_name").alias("score"))
-    return scored.filter(F.col("score") >= F.lit(threshold).cast(CONFIDENCE))
+    wide = math.log((2 - least) / least)
+    names = lambda df, name: df.select(F.col("work_name").alias(name)).filter(F.col(name) != "").distinct().withColumn("band", F.floor(F.log(F.length(name).cast("double")) / wide + 1e-9).cast("int"))
+    a, b = names(names_a, "source_name"), names(names_b, "target_name")
+    # Blocks of each side by band; there are as many rows as bands.
+    blocks = lambda df, out: df.groupBy("band").agg(F.ceil(F.count("*") / NAME_BLOCK).cast("int").alias(out))
+    near = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("other")
+    sizes_a, sizes_b = blocks(a, "n_a"), blocks(b, "n_b")
+    met = sizes_a.select("band", "n_a", near).join(sizes_b.select(F.col("band").alias("other"), "n_b"), "other")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(met, "band").select("source_name", "band", "other", F.pmod(F.xxhash64("source_name"), F.col("n_a")).cast("int").alias("i"), upto("n_b").alias("j"))
+    right = b.join(met.select(F.col("band").alias("own"), F.col("other").alias("band"), "n_a", "n_b"), "band").select("target_name", F.col("own").alias("band"), F.col("band").alias("other"), upto("n_a").alias("i"), F.pmod(F.xxhash64("target_name"), F.col("n_b")).cast("int").alias("j"))
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            sources, targets = x["source_name"].tolist(), y["target_name"].tolist()
+            (letters_a, n), (letters_b, m) = letter_counts(sources), letter_counts(targets)
+            for name, own, size in zip(sources, letters_a, n):
+                shared = np.minimum(own, letters_b).sum(axis=1, dtype=np.int64)
+                for j in np.flatnonzero(2 * np.minimum(shared, np.minimum(size, m)) >= least * (size + m)).tolist():
+                    if name != targets[j] and (ratio := sequence_ratio(name, targets[j])) >= Decimal(threshold):
+                        out.append((name, targets[j], ratio))
+        return pd.DataFrame(out, columns=["source_name", "target_name", "score"], dtype=object)
+
+    keys = ["band", "other", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "source_name string, target_name string, score decimal(8,6)")
 
 
 def fuzzy_pairs(sources: DataFrame, targets: DataFrame, threshold: str = "0.750000") -> DataFrame:
@@ -216,9 +237,3 @@ def match_by_keys(sources: DataFrame, targets: DataFrame, strategies: Sequence[s
         tops.append(F.col(f"_{s}"))
     top = F.coalesce(*tops)
     return out.select("target_row_id", *_status(top["n"], top["ordinal"], top["source_row_id"], top["n"], F.lit(True)))
-
-
-def ranked_ties(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """df with rank over `order` within keys, and ambiguous: more than one row shares the first rank."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.rank().over(w)).withColumn("ambiguous", F.count_if(F.col("rank") == 1).over(Window.partitionBy(*keys)) > 1)

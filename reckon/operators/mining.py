@@ -30,19 +30,22 @@ def edit_one(a: Column, b: Column) -> Column:
 def near_variants(texts: DataFrame) -> DataFrame:
     """(left, right): distinct texts that are equal but for punctuation, or differ in one word by little.
 
-    Blocking loses nothing: equal texts without punctuation share that text; texts of as many words that differ in one
-    share the text with that word blanked out. Only texts within a block meet.
+    Blocking loses nothing. Equal texts without punctuation share that text. Texts of as many words that differ in one
+    share the text with that word blanked out; words within one edit share a form with one letter less or none, so they
+    also meet by that form; and a word of one letter, of which a block has as many as there are letters, meets all.
     """
     rows = texts.select("text").filter("text is not null").distinct()
-    bare = rows.select("text", F.regexp_replace("text", r"(?U)[^\w]", "").alias("block"), F.lit(-1).alias("at"), F.lit("").alias("word"))
+    bare = rows.select("text", F.regexp_replace("text", r"(?U)[^\w]", "").alias("block"))
+    same = bare.alias("a").join(bare.alias("b"), "block").filter("a.text < b.text").select(F.col("a.text").alias("left"), F.col("b.text").alias("right"))
     words = rows.withColumn("w", F.filter(F.split("text", " +"), lambda x: x != ""))
     holes = words.select("text", F.posexplode("w").alias("at", "word"), "w")
     blank = holes.select("text", F.concat_ws(" ", F.concat(F.slice("w", F.lit(1), F.col("at")), F.array(F.lit("\u0000")), F.slice("w", F.col("at") + 2, F.size("w")))).alias("block"), "at", "word")
-    blocks = bare.unionByName(blank)
-    pairs = blocks.alias("a").join(blocks.alias("b"), ["block", "at"]).filter("a.text < b.text")
-    a, b = F.col("a.word"), F.col("b.word")
-    alike = (F.col("at") < 0) | (F.length(a) == 1) | (F.length(b) == 1) | edit_one(a, b)
-    return pairs.filter(alike).select(F.col("a.text").alias("left"), F.col("b.text").alias("right")).distinct()
+    less = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
+    forms = blank.filter(F.length("word") >= 8).select("text", "block", "at", "word", F.explode(F.array_distinct(F.concat(F.array("word"), less))).alias("form"))
+    edited = forms.alias("a").join(forms.alias("b"), ["block", "at", "form"]).filter("a.text < b.text").filter(edit_one(F.col("a.word"), F.col("b.word")))
+    letters = blank.filter(F.length("word") == 1).alias("a").join(blank.alias("b"), ["block", "at"]).filter("a.text <> b.text")
+    each = lambda pairs: pairs.select(F.least("a.text", "b.text").alias("left"), F.greatest("a.text", "b.text").alias("right"))
+    return same.unionByName(each(edited)).unionByName(each(letters)).distinct()
 
 
 def candidates(corpus: DataFrame, scope: list[str], least: int = 3) -> DataFrame:
@@ -82,5 +85,14 @@ def contradictions(edges: DataFrame) -> DataFrame:
 
 
 def queue_order(items: DataFrame, descending: list[str], key: str) -> DataFrame:
-    """Items with their place in a total order: descending scores, then the key."""
-    return items.withColumn("place", F.row_number().over(Window.orderBy(*(F.desc(c) for c in descending), F.asc(key))))
+    """Items with their place in a total order: descending scores, then the key.
+
+    Sorted by range; a partition's places follow those of the partitions before it, of which only the sizes meet.
+    """
+    order = [*(F.desc(c) for c in descending), F.asc(key)]
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = items.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return placed.join(before, "_part").withColumn("place", F.col("place") + F.col("_before")).drop("_part", "_before")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reckon.functions.text import normalize_header, position_segments
+from reckon.operators.bounded import sent
 
 #: Bounds of a scan; empty rows that end one, and a data area; rows read at most.
 SCAN_ROWS, SCAN_COLUMNS, SCAN_CELLS, SCAN_EMPTY = 60, 120, 5000, 15
@@ -97,12 +98,12 @@ def token_in(text: Column, token: Column) -> Column:
 def resolve_columns(headers: DataFrame, rules: DataFrame, context: tuple[str, ...] = ()) -> DataFrame:
     """One row per sheet and logical column: col, confidence, status (OK, COLUMN_NOT_FOUND, AMBIGUOUS_COLUMN).
 
-    rules: logical, exact, required, optional, forbidden (arrays of normalized texts), priority; a small table. An exact
+    rules: logical, exact, required, optional, forbidden (arrays of normalized texts), priority; all of them count, and ValueError beyond bounded.MOST_ROWS. An exact
     alias scores 1; else all required words must be there, and optional ones, priority and forbidden words decide. The
     best must reach 0.64; another column within 0.045 of it is a tie; two logical columns on one physical column keep the
     better if it leads by 0.08, else neither.
     """
-    pairs = headers.join(F.broadcast(rules.limit(1000)), F.lit(True))
+    pairs = headers.join(sent(rules, "column rules"), F.lit(True))
     text = F.col("normalized")
     count = lambda name: F.size(F.filter(name, lambda t: token_in(text, t)))
     exact = F.array_contains("exact", text)
@@ -120,7 +121,7 @@ def resolve_columns(headers: DataFrame, rules: DataFrame, context: tuple[str, ..
     )
     status = F.when(F.col("t.s") < 0.64, "COLUMN_NOT_FOUND").when(F.col("tie"), "AMBIGUOUS_COLUMN").otherwise("OK")
     found = one.select(*SHEET, "logical", F.col("t.col").alias("col"), F.col("t.s").alias("confidence"), status.alias("status"))
-    every = headers.select(*SHEET).distinct().join(F.broadcast(rules.select("logical").distinct()), F.lit(True))
+    every = headers.select(*SHEET).distinct().join(sent(rules.select("logical").distinct(), "logical columns"), F.lit(True))
     out = every.join(found, [*SHEET, "logical"], "left").withColumn("status", F.coalesce("status", F.lit("COLUMN_NOT_FOUND"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     same = Window.partitionBy(*SHEET, F.when(F.col("status") == "OK", F.col("col").cast("string")).otherwise(F.concat(F.lit("-"), "logical")))
     ranked = out.withColumn("_k", F.count("*").over(same)).withColumn("_r", F.row_number().over(same.orderBy(F.desc("confidence"), "logical"))).withColumn("_m", F.max("confidence").over(same)).withColumn("_2", F.max(F.when(F.col("_r") == 2, F.col("confidence"))).over(same))
@@ -157,11 +158,11 @@ def classify_sheets(sheets: DataFrame, name_rules: DataFrame, signatures: DataFr
     alone: 0.85 or 0.90 of it. Strong but different tops are a conflict; under 0.28 the type is unknown.
     """
     key = SHEET
-    names = sheets.join(F.broadcast(name_rules), F.regexp_like("name", F.col("pattern"))).groupBy(*key, "sheet_type").agg(F.max("score").alias("ns"))
+    names = sheets.join(sent(name_rules, "name rules"), F.regexp_like("name", F.col("pattern"))).groupBy(*key, "sheet_type").agg(F.max("score").alias("ns"))
     count = lambda c: F.size(F.filter(c, lambda m: F.col("corpus").contains(m)))
     raw = F.least(count("strong") * 0.34, F.lit(0.68)) + F.least(count("weak") * 0.08, F.lit(0.32)) - F.least(count("negative") * 0.18, F.lit(0.45))
     score = F.round(F.least(F.greatest(F.when(count("strong") == 0, F.least(raw, F.lit(0.58))).otherwise(raw), F.lit(0.0)), F.lit(1.0)), 4)
-    content = sheets.join(F.broadcast(signatures), F.lit(True)).select(*key, "sheet_type", score.alias("cs"), "min_score").filter(F.col("cs") >= F.greatest(F.col("min_score") * 0.55, F.lit(0.12))).drop("min_score")
+    content = sheets.join(sent(signatures, "sheet signatures"), F.lit(True)).select(*key, "sheet_type", score.alias("cs"), "min_score").filter(F.col("cs") >= F.greatest(F.col("min_score") * 0.55, F.lit(0.12))).drop("min_score")
     both = names.join(content, [*key, "sheet_type"], "full_outer")
     total = F.round(F.when(F.col("ns").isNotNull() & F.col("cs").isNotNull(), 0.45 * F.col("ns") + 0.55 * F.col("cs")).when(F.col("ns").isNotNull(), 0.85 * F.col("ns")).otherwise(0.90 * F.col("cs")), 4)
     both = both.withColumn("t", total)

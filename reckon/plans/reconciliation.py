@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckon.operators import calculation, matching, quality_gate
+from reckon.operators.bounded import sent
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ def reconcile(sources: DataFrame, targets: DataFrame, clauses: DataFrame | None
     if clauses is None:
         flags = chosen.select("*", F.lit(True).alias("include_quantity"), F.lit(True).alias("include_cost"))
     else:
-        live = F.broadcast(clauses.filter("owner_approved and status = 'approved'")).alias("c")
+        live = sent(clauses.filter("owner_approved and status = 'approved'"), "rule clauses").alias("c")
         hit = chosen.join(sources.alias("s"), "source_row_id").join(targets.alias("t"), "target_row_id").join(
             live, matching.clause_matches("c", F.col("s.work_name"), F.col("s.unit")) & matching.scope_matches("c", F.col("t.object_code"), F.col("t.stage"), F.col("t.work_name"), F.col("s.unit"))
         )
