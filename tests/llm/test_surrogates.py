@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from reckon.llm import surrogates
 
 TEXT = "Mail ann.lee+3@mail5.example.com or +1 (743) 555-3824; card 4438189355774160, host 172.242.194.228, ssn 078-05-1120, key \"ab12cd34ef56ab12cd34ef56ab\"; Mr. John Smith and Mrs Anna Smith met Г-н. Господин Иванов came."
@@ -13,9 +16,9 @@ def luhn(digits):
     return total % 10 == 0
 
 
-def run(spark, rows, **kw):
+def run(spark, rows, key="k"):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_entities string")
-    return surrogates.replace_entities(df, **kw)
+    return surrogates.replace_entities(df, key)
 
 
 def test_types_formats_and_coreference(spark):
@@ -40,7 +43,7 @@ def test_surrogates_stay_distinct(spark):
     made = surrogates.assign(spark.createDataFrame([("ip", v) for v in values], "kind string, value string"), "k").collect()
     out = [r.surrogate for r in made]
     assert len(made) == 4000 and len(set(out)) == 4000 and not set(out) & set(values)
-    one = spark.createDataFrame([("card", f"4{i:015d}"[:13]) for i in range(300)] + [("ssn", f"{i:03d}-00-0000") for i in range(300)], "kind string, value string").distinct()
+    one = spark.createDataFrame([("card", f"4{i:012d}") for i in range(300)] + [("ssn", f"{i:03d}-00-0000") for i in range(300)], "kind string, value string").distinct()
     got = [r.surrogate for r in surrogates.assign(one, "k").collect()]
     assert len(got) == len(set(got)) == one.count()
 
@@ -60,4 +63,82 @@ def test_edge_rows(spark):
     assert len(got) == 6
     assert sorted(r.n_entities for r in got) == [0, 0, 1, 1, 1, 3000]
     assert len({re.search(r"\S+@\S+", r.text)[0] for r in got if r.n_entities}) == 1
-    assert run(spark, rows).limit(0).count() == 0
+    empty = spark.createDataFrame(rows, "doc_id long, text string, n_entities string").limit(0)
+    assert surrogates.replace_entities(empty, "k").count() == 0
+    with pytest.raises(ValueError):
+        surrogates.replace_entities(empty, "")
+
+
+def only(spark, text, key="k"):
+    return run(spark, [(1, text, "x")], key).first()
+
+
+@pytest.mark.parametrize("text, gone", [
+    ("we met John Smith there", ["John", "Smith"]), ("ask Dr Alice Jones now", ["Alice", "Jones"]), ("dear Mr 田中 and 山田さん came", ["田中", "山田"]), ("call (743) 555-3824 today", ["555-3824"]),
+    ("call 743-555-3824 today", ["555-3824"]), ("SSN 078 05 1120 on file", ["078 05"]), ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", ["8a2e", "85a3"]), ("host fe80::1ff:fe23:4567 up", ["fe23"]),
+    ("Mr Γιώργος Παπαδόπουλος here", ["Γιώργος", "Παπαδόπουλος"]), ("IBAN GB82 WEST 1234 5698 7654 32 ok", ["WEST 1234"]),
+])
+def test_what_is_found(spark, text, gone):
+    got = only(spark, text)
+    assert got.n_entities >= 1 and not any(g in got.text for g in gone)
+
+
+def test_what_is_left_alone(spark):
+    for text in ("order 1234567890123456 shipped", "The John of old", "std::vector and 12:30:45 in 2024-05-06", "Dr ahead, Mr and Mrs", "version 1.2.3 of 10.5", "Smith met Jones"):
+        got = only(spark, text)
+        assert got.text == text and got.n_entities == 0, text
+
+
+def test_scripts_stay(spark):
+    import unicodedata
+
+    script = lambda word: {unicodedata.name(c).split()[0] for c in word if c.isalpha()}
+    for text, words in (("Mr Γιώργος Παπαδόπουλος", 2), ("Господин Иван Петров", 2), ("Mr John Smith", 2), ("山田さん", 1), ("Mrs Анна Иванова", 2)):
+        old, new = text.split()[-words:], only(spark, text).text.split()[-words:]
+        assert old != new and [script(w.replace("さん", "")) for w in old] == [script(w.replace("さん", "")) for w in new], (old, new)
+
+
+def test_one_surrogate_however_it_is_written(spark):
+    text = "4438189355774160 4438 1893 5577 4160 4438-1893-5577-4160; +1 (743) 555-3824 and +1 743 555 3824; Ann@X.com ann@x.com; Mr. John Smith, John Smith"
+    made = only(spark, text).text
+    cards = re.findall(r"(?<![0-9])(?:[0-9][ -]?){15}[0-9](?![0-9])", made.split(";")[0])
+    digits = re.sub(r"[^0-9]", "", made.split(";")[0])
+    assert digits[:16] == digits[16:32] == digits[32:] and luhn(digits[:16]) and digits[:16] != "4438189355774160", cards
+    phones = [re.sub("[^0-9]", "", x) for x in made.split(";")[1].split("and")]
+    assert phones[0] == phones[1] != "17435553824"
+    mails = made.split(";")[2].split()
+    assert mails[0].lower() == mails[1] and mails[0][0].isupper()
+    names = made.split(";")[3].replace("Mr.", "").split(",")
+    assert names[0].strip() == names[1].strip() != "John Smith"
+
+
+def test_check_digits_of_accounts(spark):
+    made = re.search(r"IBAN (.*) ok", only(spark, "IBAN GB82 WEST 1234 5698 7654 32 ok").text)[1]
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", made)
+    bare = made.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def test_gaps_stay_and_all_equal_entities_change_alike(spark):
+    """Against plain cutting: what lies between entities is untouched, and one entity has one surrogate in all texts."""
+    rng = random.Random(5)
+    pool = [f"user{i}@mail.example.com" for i in range(30)] + [f"10.{i}.7.{i + 3}" for i in range(30)] + [f"+1 (743) 555-{3000 + i}" for i in range(30)]
+    filler = ["plain", "words", "of 12 items,", "Ünïcode", "line\nbreak"]
+    rows, parts = [], {}
+    for i in range(60):
+        each = [(rng.choice(filler), rng.choice(pool)) for _ in range(rng.randint(0, 8))]
+        parts[i] = each
+        rows.append((i, " ".join(f"{g} {e}" for g, e in each) + " end", "x"))
+    made = {}
+    for r in run(spark, rows).collect():
+        assert r.n_entities == len(parts[r.doc_id]) and r.n_distinct_entities == len({e for _, e in parts[r.doc_id]})
+        rest = r.text
+        for gap, entity in parts[r.doc_id]:
+            assert rest.startswith(f"{gap} ")
+            rest = rest[len(gap) + 1 :]
+            size = len(entity) if "@" not in entity else rest.index(" ")
+            size = rest.index(" ") if entity.startswith("10.") else size
+            assert made.setdefault(entity, rest[:size]) == rest[:size]
+            rest = rest[size + 1 :]
+        assert rest.strip() == "end"
+    assert len(set(made.values())) == len(made) and not set(made.values()) & set(pool)
