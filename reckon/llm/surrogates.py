@@ -35,7 +35,7 @@ _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 _WORD = r"\p{Lu}[\p{L}'\-]+"
 #: Kinds in order of precedence, with their patterns (Java).
 KINDS = {
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
     "secret": r"(?<=[\"'])(?=[A-Za-z_\-]{0,60}[0-9])(?=[0-9_\-]{0,60}[A-Za-z])[A-Za-z0-9_\-]{20,120}(?=[\"'])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,38}[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
@@ -43,11 +43,11 @@ KINDS = {
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])|(?<=SSN[ :#]{1,3})[0-9]{3} ?[0-9]{2} ?[0-9]{4}(?![0-9])|(?<=ssn[ :#]{1,3})[0-9]{3} ?[0-9]{2} ?[0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}(?![0-9]|\.[0-9])",
-    "name": rf"\b(?:{_ADDRESS})\.? (?:{_WORD}(?: {_WORD}){{0,2}}|{_CJK}{{1,6}})|{_CJK}{{1,6}}(?={'|'.join(AFTER_MALE + AFTER_FEMALE + AFTER)})|\b(?:{'|'.join(GIVEN_MALE + GIVEN_FEMALE)})(?: {_WORD}){{1,2}}",
+    "name": rf"\b(?=\p{{Lu}})(?:{_ADDRESS})\.? (?:{_WORD}(?: {_WORD}){{0,2}}|{_CJK}{{1,6}})|{_CJK}{{1,6}}(?={'|'.join(AFTER_MALE + AFTER_FEMALE + AFTER)})|\b(?=\p{{Lu}})(?:{'|'.join(GIVEN_MALE + GIVEN_FEMALE)})(?: {_WORD}){{1,2}}",
 }
 PATTERN = "(?:" + "|".join(KINDS.values()) + ")"
 #: A cheap test that every text with an entity passes.
-HINT = rf"@|[0-9][^A-Za-z]{{0,3}}[0-9]|[0-9A-Fa-f]::?[0-9A-Fa-f]|[\"'][A-Za-z0-9_\-]{{20}}|\b(?:{'|'.join(MALE + FEMALE + NEUTRAL + GIVEN_MALE + GIVEN_FEMALE)})\b|{_CJK}"
+HINT = rf"@|[0-9][^A-Za-z]{{0,3}}[0-9]|[0-9A-Fa-f]::?[0-9A-Fa-f]|[\"'][A-Za-z0-9_\-]{{20}}|\b(?=\p{{Lu}})(?:{'|'.join(MALE + FEMALE + NEUTRAL + GIVEN_MALE + GIVEN_FEMALE)})\b|{_CJK}"
 #: Scripts with the letters that their surrogate words are made of: consonants and vowels in turn, or any of the first.
 SCRIPTS = {
     "IsCyrillic": ("бдгклмнпрстз", "аеиоу", "а"), "IsGreek": ("βγδκλμνπρσ", "αεηιο", "α"), "IsHan": ("山川田林森石原井上中村松竹梅高木本島谷野", None, ""), "IsHiragana": ("あいうえおかきくけこさしすせたちとなにのはまみもやゆよらりる", None, ""),
