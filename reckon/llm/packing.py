@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reckon.llm import bpe
-from reckon.llm.common import parquet, texts
+from reckon.llm.common import cut, parquet, texts
 
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces that one best-fit-decreasing run takes at most; a task with more starts another run.
+#: Pieces that one best-fit-decreasing run takes, about.
 RUN_PIECES = 100_000
 #: Entries of a worker's chunk cache; beyond it the cache starts anew.
 CACHE_ENTRIES = 500_000
@@ -131,60 +133,49 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pieces(docs: DataFrame, size: int, end_id: int, path: str | None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): documents as ids and end_id, cut into windows of `size` and a rest."""
 
-    A document is its token ids and then end_id; null text counts as empty, so its document is end_id alone. A
-    document of size ids or more is first cut into full windows, each a sequence of its own; what remains is packed
-    by best-fit decreasing. Every task packs what it reads, in runs of at most RUN_PIECES pieces, so nothing is
-    shuffled and memory is bounded; a run leaves its last windows partly filled. sequence_id counts from the
-    task's partition number times 2^40, so a repeated task gives the same ids. Null ids and repeated rows are
-    documents like any others; an empty table gives no rows.
-    """
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path or bpe.default_path())
-        next_id = TaskContext.get().partitionId() << 40
         end = array("I", [end_id]).tobytes()
-        rest: list[tuple] = []
-
-        def cut(doc_id, ids: bytes, full: list[tuple]) -> None:
-            nonlocal next_id
-            for start in range(0, len(ids) // 4, size):
-                piece = ids[4 * start : 4 * (start + size)]
-                row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
-                if len(piece) == 4 * size:
-                    full.append((*row, next_id, 0))
-                    next_id += 1
-                else:
-                    rest.append(row)
-
-        def run() -> pd.DataFrame:
-            nonlocal next_id
-            window, offset, made = best_fit_decreasing([r[2] for r in rest], size)
-            out = frame([(*r, next_id + w, o) for r, w, o in zip(rest, window, offset)])
-            next_id += made
-            rest.clear()
-            return out
-
         for batch in batches:
-            full, ids_of = [], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
+            ids_of = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
             for at in range(0, len(batch), TEXTS):
-                made = enc.encode(batch["text"].iloc[at : at + TEXTS].tolist())
-                for doc_id, ids in zip(ids_of[at : at + TEXTS], made):
-                    cut(doc_id, ids + end, full)
-                    if len(rest) >= RUN_PIECES:
-                        yield run()
-            if full:
-                yield frame(full)
-        if rest:
-            yield run()
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[re.split(" ", c.strip())[0] for c in SCHEMA.split(",")])
-        return out.astype({"doc_id": "Int64"})
-
-    return texts(docs, id_col, text_col).mapInPandas(packed, SCHEMA)
+                out = []
+                for doc_id, ids in zip(ids_of[at : at + TEXTS], enc.encode(batch["text"].iloc[at : at + TEXTS].tolist())):
+                    ids += end
+                    for low in range(0, len(ids), 4 * size):
+                        piece = ids[low : low + 4 * size]
+                        out.append((doc_id, low // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                yield pd.DataFrame(out, columns=list(PIECE)).astype({"doc_id": "Int64"})
+
+    return docs.mapInPandas(cut_up, ", ".join(f"{c} long" for c in PIECE))
+
+
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A document is its token ids and then end_id; null text counts as empty, so its document is end_id alone. A document
+    of size ids or more is first cut into full windows; all pieces are packed by best-fit decreasing. Pieces, not texts,
+    are dealt by their content into runs of about RUN_PIECES, so a run's last windows are the only ones partly filled
+    for want of pieces, and memory is bounded. Equal pieces are counted before they are dealt and dealt one by
+    one, so very many of them spread over all runs. The result depends on the rows alone, not on their order or
+    partitions: sequence_id is the run's number times 2^40 plus the window's in it. Null ids and repeated rows are
+    documents like any others; an empty table gives no rows.
+    """
+    counted = cut(pieces(texts(docs, id_col, text_col), size, end_id, path).groupBy(*PIECE).agg(F.count("*").alias("n")))
+    runs = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // RUN_PIECES))
+    each = counted.select(*PIECE, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    dealt = each.withColumn("run", F.pmod(F.xxhash64(*PIECE, "copy"), F.lit(runs)))
+
+    def packed(found: pa.Table) -> pa.Table:
+        found = found.take(pc.sort_indices(found, [(c, "ascending") for c in (*PIECE, "copy")], null_placement="at_start"))
+        window, offset, _ = best_fit_decreasing(found["length"].to_pylist(), size)
+        ids = (found["run"][0].as_py() << 40) + np.array(window, dtype=np.int64)
+        return found.select(list(PIECE)).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64()))
+
+    return dealt.groupBy("run").applyInArrow(packed, SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

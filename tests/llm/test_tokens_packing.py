@@ -44,6 +44,20 @@ def test_packing_holds_each_id_once(spark, docs):
         assert at <= 64
 
 
+def test_packing_depends_on_the_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_PIECES", 150)
+    rng = random.Random(3)
+    rows = [(i % 300, " ".join(rng.choice("abc def ghi".split()) for _ in range(rng.choice([0, 3, 40, 200])))) for i in range(400)] + [(None, "same text")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    found = [sorted(packing.pack(d, size=64).collect(), key=key) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy("text").repartition(3))]
+    assert found[0] == found[1] == found[2]
+    runs = {r.sequence_id >> 40 for r in found[0]}
+    windows = {r.sequence_id for r in found[0]}
+    assert len(runs) > 2 and sum(r.length for r in found[0]) > 64 * (len(windows) - 2 * len(runs)) * 0.98
+    assert len({r.sequence_id >> 40 for r in found[0] if r.doc_id is None}) > 1
+
+
 def test_best_fit_is_the_tightest_window():
     rng = random.Random(1)
     for _ in range(30):
