@@ -37,24 +37,45 @@ def test_raking_meets_its_targets(spark):
     assert share[""] == pytest.approx(0.5, abs=1e-6) and share["a"] == pytest.approx(0.25, abs=1e-6)
     assert max(r.probability for r in out) == 1
     kept = mixing.mix(docs, targets={"source": want}, topic="topic")
-    assert kept.count() == 400 and kept.columns[-3:] == ["n_tokens", "probability", "sampled"]
+    assert kept.count() == 400 and kept.columns[-3:] == ["n_words", "probability", "sampled"]
 
 
 def test_mixing_edge_rows(spark):
     rows = [(1, None, None, None), (None, "", "s", "en"), (2, "a b", "s", "en"), (2, "a b", "s", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "'clash' as sampled")
     got = mixing.mix(docs).collect()
-    assert len(got) == 4 and all(0 <= r.probability <= 1 for r in got) and sorted(r.n_tokens for r in got) == [0, 0, 2, 2]
+    assert len(got) == 4 and all(0 <= r.probability <= 1 for r in got) and sorted(r.n_words for r in got) == [0, 0, 2, 2]
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_raking_goes_on_until_the_marginals_are_met(spark):
+    """Cells so lopsided that few sweeps are not enough; what is impossible ends too."""
+    rows = [(s, l, t, (900 if (s, l) in (("a", "x"), ("b", "y")) else 150) + (300 if t == "t" else 0) + 70 * (s == "a")) for s in "ab" for l in "xy" for t in "tu"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    once = mixing.residuals(mixing.swept(mixing.wanted(cells, mixing.POWERS), 1)).agg({"residual": "max"}).first()[0]
+    out = mixing.raked(cells, mixing.POWERS, 1)
+    assert mixing.residuals(out).agg({"residual": "max"}).first()[0] <= mixing.TOLERANCE < once
+    impossible = spark.createDataFrame([("a", 1.0)], "value string, weight double")
+    assert mixing.raked(cells, mixing.POWERS, 1, {"source": impossible}).count() == 8
+
+
+def test_tables_of_any_size_give_equal_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sent = sorted(mixing.mix(docs, kept=0.5).select("doc_id", "n_words", "probability", "sampled").collect())
+    monkeypatch.setattr(mixing, "SENT_CELLS", 0)
+    assert sorted(mixing.mix(docs.repartition(5), kept=0.5).select("doc_id", "n_words", "probability", "sampled").collect()) == sent
+    long = spark.createDataFrame([(1, "word " * 200_000, "s", "en"), (2, "a|b " * 9, "s", "en"), (3, "12 34", "s", "en"), (4, "what? yes!", "s", "en")], "doc_id long, text string, source string, lang string")
+    assert [r.t for r in long.select(mixing.text_topic(long.text).alias("t")).collect()] == ["prose", "markup", "numbers", "talk"]
+    assert {r.doc_id: r.n_words for r in mixing.mix(long).collect()} == {1: 200_000, 2: 9, 3: 2, 4: 2}
+
+
 def test_a_rare_cell_does_not_shrink_the_sample(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(-1, "word " * 40, "en", "new source", 200), (-2, None, None, None, 0)], docs.schema)
     cells = mixing.mix(docs.unionByName(odd), kept=0.5)
-    sums = cells.selectExpr("sum(greatest(n_tokens, 1) * probability) k", "sum(greatest(n_tokens, 1)) t").first()
+    sums = cells.selectExpr("sum(greatest(n_words, 1) * probability) k", "sum(greatest(n_words, 1)) t").first()
     assert sums.k / sums.t == pytest.approx(0.5, abs=1e-6)
     assert {r.probability for r in cells.filter("doc_id < 0").collect()} == {1.0}
     words = lambda df: df.selectExpr("sum(size(filter(split(text, '[ \\\\t\\\\n]+'), w -> w != '')))").first()[0]
