@@ -1,11 +1,14 @@
-"""Operator 5, line dedup: hashed windows of lines. DataFrame functions only.
+"""Operator 5, line dedup: winnowing over line hashes. DataFrame functions only.
 
 The lines with a word of a text form a sequence of hashes with word counts. A run is lines that follow each other
 and hold `words` words or more. A window is the shortest run from a line on, or up to a line; every line of a run lies
-in a window that lies in the run. So a line lies in a copy of an earlier run if and only if one of its windows has the
-content of an earlier window, and each window is joined with the first place of its own content only (texts by id,
-then by line): a group of copies costs its size, not its square. Lines in later windows are deleted. Since a deleted
-run equals an earlier one, the first of all copies stays.
+in a window that lies in the run. A window's fingerprint is its smallest line hash, with its place; neighbouring windows
+share theirs, so a text has few. Equal windows have equal fingerprints, so only windows whose fingerprint stands at two
+places or more can be copies, and only these are joined, by the hash of their whole content: a fingerprint may occur in
+texts that go on differently, and each content is joined with the first place of its own (texts by id, then by line).
+Windows that follow each other extend a copy both ways, line by line. A line lies in a copy of an earlier run if
+and only if one of its windows has the content of an earlier one; lines in later windows are deleted. Since a deleted
+run equals an earlier one, the first of all copies stays, and a group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ from reckon.llm.common import cut, parquet
 
 #: Words that a repeated run must hold.
 WORDS = 50
-#: Not used here; test_against_loops reads it for its own fingerprints.
-GRAM = 25
 
 
 def line_words(line: Column) -> Column:
@@ -54,13 +55,15 @@ def line_sequences(docs: DataFrame, words: int) -> DataFrame:
 
 
 def windows(sequences: DataFrame, words: int) -> DataFrame:
-    """place, low, high, content: the lines (by number in the sequence) and their hash, of the shortest window of `words`
-    words from each line on, and of the shortest one up to each line where that is none of the former."""
+    """place, low, high, mark, at, content: the lines (by number in the sequence), the smallest line hash with its line, and
+    the hash of all lines, of the shortest window of `words` words from each line on, and of the shortest one up to each line
+    where that is none of the former."""
     flat = sequences.select("place", F.posexplode(F.arrays_zip("hashes", "counts")).alias("no", "x")).select("place", "no", F.col("x.hashes").alias("hash"), F.col("x.counts").alias("words"))
     text = Window.partitionBy("place")
     flat = flat.withColumn("end", F.sum("words").over(text.orderBy("no"))).withColumn("start", F.col("end") - F.col("words")).withColumn("total", F.sum("words").over(text))
     on, upto = text.orderBy("start").rangeBetween(0, words - 1), text.orderBy("end").rangeBetween(1 - words, 0)
-    window = lambda low, high, lines: F.struct(low.alias("low"), high.alias("high"), F.xxhash64(F.collect_list("hash").over(lines)).alias("content"))
+    least = lambda lines: F.min(F.struct("hash", "no")).over(lines)
+    window = lambda low, high, lines: F.struct(low.alias("low"), high.alias("high"), least(lines)["hash"].alias("mark"), least(lines)["no"].alias("at"), F.xxhash64(F.collect_list("hash").over(lines)).alias("content"))
     first = F.when(F.col("start") + words <= F.col("total"), window(F.col("no"), F.max("no").over(on), on))
     last = F.when(F.col("start") - F.min("start").over(upto) >= words, window(F.min("no").over(upto), F.col("no"), upto))
     return flat.select("place", first.alias("first"), last.alias("last")).select("place", F.explode(F.array("first", "last")).alias("w")).filter("w is not null").select("place", "w.*")
@@ -69,9 +72,12 @@ def windows(sequences: DataFrame, words: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """place, gone: the ascending numbers of the lines that lie in a later copy of a run; texts without are left out."""
     sequences = cut(line_sequences(docs, words))
-    found = windows(sequences, words)
-    first = found.groupBy("content").agg(F.min(F.struct("place", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("content", "first")
-    later = found.join(first, "content").filter(F.struct("place", "low") > F.col("first"))
+    found = cut(windows(sequences, words))
+    stands = F.struct("place", "at")
+    marks = found.groupBy("mark").agg(F.min(stands).alias("first"), F.max(stands).alias("last")).filter("first < last").select("mark")
+    near = found.join(marks, "mark", "left_semi")
+    first = near.groupBy("content").agg(F.min(F.struct("place", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("content", "first")
+    later = near.join(first, "content").filter(F.struct("place", "low") > F.col("first"))
     lines = later.groupBy("place").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", "high")))).alias("lines"))
     return lines.join(sequences.select("place", "nos"), "place").select("place", F.array_sort(F.transform("lines", lambda i: F.get("nos", i))).alias("gone"))
 

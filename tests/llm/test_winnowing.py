@@ -5,45 +5,18 @@ import pytest
 from reckon.llm import winnowing
 
 
-def hash_of(spark, grams):
-    rows = spark.createDataFrame([(list(g),) for g in sorted(grams)], "g array<string>").selectExpr("g", "xxhash64(transform(g, x -> xxhash64(x))) h").collect()
-    return {tuple(r.g): r.h for r in rows}
-
-
-def cover(seq, a, words):
-    """One past the last line of those that start within `words` words of line a's start; their words."""
-    total, b = 0, a
-    while b < len(seq) and total < words:
-        total += seq[b][2]
-        b += 1
-    return b, total
-
-
-def brute(spark, texts, words):
-    """texts: id -> text. The same definition by plain loops: id -> numbers of the lines that go."""
-    seqs = {i: [(k, x, min(words, len(x.split()))) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
-    gram = min(winnowing.GRAM, words)
-    key = {(i, a): tuple(x[1] for x in seq[a : cover(seq, a, gram)[0]]) for i, seq in seqs.items() for a in range(len(seq))}
-    hashes = hash_of(spark, set(key.values()))
-    places = {}
-    for i, seq in seqs.items():
+def all_earlier(texts, words):
+    """The definition by plain loops over all earlier places: id -> numbers of the lines that go."""
+    seqs = {i: [(k, x, len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
+    gone, runs = {}, {}
+    for i in sorted(seqs):
+        seq = seqs[i]
         for a in range(len(seq)):
-            if cover(seq, a, words)[1] >= words:
-                h, no = min((hashes[key[i, k]], k) for k in range(a, len(seq)) if sum(x[2] for x in seq[a:k]) <= words - gram)
-                places.setdefault(h, set()).add((i, no))
-    gone = {}
-    for h, found in places.items():
-        first = min(found)
-        for i, no in found - {first}:
-            own, other, shift = seqs[i], seqs[first[0]], no - first[1]
-            same = lambda k: 0 <= k < len(own) and 0 <= k - shift < len(other) and own[k][1] == other[k - shift][1]  # noqa: E731,B023
-            low = high = no
-            while same(low - 1):
-                low -= 1
-            while same(high + 1):
-                high += 1
-            if sum(own[k][2] for k in range(low, high + 1)) >= words:
-                gone.setdefault(i, set()).update(own[k][0] for k in range(low, high + 1))
+            for b in range(a + 1, len(seq) + 1):
+                if sum(x[2] for x in seq[a:b]) >= words:
+                    run = tuple(x[1] for x in seq[a:b])
+                    if runs.setdefault(run, (i, a)) < (i, a):
+                        gone.setdefault(i, set()).update(x[0] for x in seq[a:b])
     return gone
 
 
@@ -54,7 +27,7 @@ def test_against_loops(spark, words):
     texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 3, 8, 20, 60]))) for i in range(80)}
     for i in range(60, 75):
         texts[i] = texts[i - 40] + "\n" + texts[i - 20]
-    want = brute(spark, texts, words)
+    want = all_earlier(texts, words)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in winnowing.drop_repeats(docs, words=words).collect()}
     assert want
@@ -72,21 +45,6 @@ def test_long_line_and_edge_rows(spark):
     assert winnowing.drop_repeats(docs.limit(0)).count() == 0
 
 
-def all_earlier(texts, words):
-    """The definition by plain loops over all earlier places: id -> numbers of the lines that go."""
-    seqs = {i: [(k, x, len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
-    gone, runs = {}, {}
-    for i in sorted(seqs):
-        seq = seqs[i]
-        for a in range(len(seq)):
-            for b in range(a + 1, len(seq) + 1):
-                if sum(x[2] for x in seq[a:b]) >= words:
-                    run = tuple(x[1] for x in seq[a:b])
-                    if runs.setdefault(run, (i, a)) < (i, a):
-                        gone.setdefault(i, set()).update(x[0] for x in seq[a:b])
-    return gone
-
-
 def test_all_earlier_places_count(spark):
     line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     g, h, z = line("g", 30), line("h", 30), line("z", 30)
