@@ -9,6 +9,8 @@ rate becomes probability 1. A document stays if its hashed id, as a number in [0
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,15 @@ MARKUP, DIGITS, TALK = ("{}[]()<>=;|", 50), ("0123456789", 12), ("\"?!", 60)
 def text_topic(text: Column) -> Column:
     """'markup', 'numbers', 'talk' or 'prose' by the share of marks, digits, and quotes and exclamations; 'none' without text."""
     size = F.length(text)
-    many = lambda kind: (size - F.length(F.translate(text, kind[0], ""))) * kind[1] > size
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "none").when(many(MARKUP), "markup").when(many(DIGITS), "numbers").when(many(TALK), "talk").otherwise("prose")
+    kinds = (MARKUP, DIGITS, TALK)
+    every = re.escape("".join(k for k, _ in kinds))
+    few = F.regexp_replace(text, f"[^{every}]+", "")  # read once; what is left is short
+
+    def told(found: Column) -> Column:
+        many = lambda kind: (F.length(found) - F.length(F.translate(found, kind[0], ""))) * kind[1] > size
+        return F.when(many(MARKUP), "markup").when(many(DIGITS), "numbers").when(many(TALK), "talk").otherwise("prose")
+
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "none").otherwise(F.get(F.transform(F.array(few), told), F.lit(0)))
 
 
 def residuals(cells: DataFrame) -> DataFrame:

@@ -19,10 +19,13 @@ MODULES = {
 }
 
 
+_LOADED = {name: import_module(f"reckon.llm.{module}") for name, module in MODULES.items()}
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"reckon.llm.{module}"), name) for name, module in MODULES.items()}
+    return {name: getattr(module, name) for name, module in _LOADED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"reckon.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
+    found = {name: getattr(module, "ORACLE_SQL", None) for name, module in _LOADED.items()}
     return {name: sql for name, sql in found.items() if sql}
