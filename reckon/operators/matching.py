@@ -236,4 +236,4 @@ def match_by_keys(sources: DataFrame, targets: DataFrame, strategies: Sequence[s
         out = out.join(grouped.select(*keys, F.struct(F.lit(ORDINAL[s]).alias("ordinal"), "n", "source_row_id").alias(f"_{s}")), list(keys), "left")
         tops.append(F.col(f"_{s}"))
     top = F.coalesce(*tops)
-    return out.select("target_row_id", *_status(top["n"], top["ordinal"], top["source_row_id"], top["n"], F.lit(True)))
+    return out.select("target_row_id", *_status(top["n"], top["ordinal"], top["source_row_id"], top["n"], top["n"].isNotNull()))

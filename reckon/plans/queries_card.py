@@ -118,6 +118,18 @@ def j12_merge_conflicts_to_review(spark, sf):
     return card.merge_update(new, old, ["o_custkey", "o_orderpriority"], ["unit", "quantity", "total_cost"], "conflicts_to_review").withColumn("conflicts", F.array_join("conflicts", ","))
 
 
+@query(f"WITH {HALF_SQL} SELECT o_custkey, o_orderpriority, coalesce(ou, nu) AS unit, coalesce(oq, nq) AS quantity, coalesce(oc, nc) AS total_cost, preserved, '' AS conflicts FROM b")
+def j12_merge_fill_empty_only(spark, sf):
+    new, old = halves(spark, sf)
+    return card.merge_update(new, old, ["o_custkey", "o_orderpriority"], ["unit", "quantity", "total_cost"], "fill_empty_only").withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+@query(f"WITH {HALF_SQL} SELECT o_custkey, o_orderpriority, coalesce(ou, nu) AS unit, coalesce(oq, nq) AS quantity, coalesce(oc, nc) AS total_cost, preserved, '' AS conflicts FROM b")
+def j12_merge_keep_existing(spark, sf):
+    new, old = halves(spark, sf)
+    return card.merge_update(new, old, ["o_custkey", "o_orderpriority"], ["unit", "quantity", "total_cost"], "keep_existing").withColumn("conflicts", F.array_join("conflicts", ","))
+
+
 @query("""WITH x AS (SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(20,2))) AS q, sum(CASE WHEN l_linenumber > 1 THEN CAST(l_extendedprice AS DECIMAL(20,2)) ELSE 0 END) AS k, sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS p FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CASE WHEN q <> 0 AND k = 0 THEN 'contract_quantity_without_cost' ELSE 'performed_cost_exceeds_contract' END AS issue_code, CAST(CASE WHEN NOT (q <> 0 AND k = 0) THEN p - k END AS DECIMAL(38,2)) AS difference FROM x WHERE (q <> 0 AND k = 0) OR p - k > 1000""")
 def c6_contract_violations(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.operators import calculation, matching, quality_gate
+from reckon.plans import reconciliation
 from reckon.plans.registry import query
 from reckon.plans.relations import MONEY, PART_TARGET_SQL, SOURCE_SQL, order_targets, part_targets, source_rows, table
 
@@ -17,33 +18,25 @@ def with_index(df: DataFrame) -> DataFrame:
     return df if "document_index" in df.columns else df.withColumn("document_index", F.lit(None).cast("string"))
 
 
+#: Codes of the gate that orders can raise; they have neither names nor units.
+ORDER_CODES = ("UNMATCHED", "AMBIGUOUS", "TARGET_NOT_WRITABLE", "MISSING_REQUIRED_VALUE", "TOLERANCE_EXCEEDED")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Match, calculate and gate: one row per order with status, totals, issues and decision."""
     targets = order_targets(spark, sf)
-    lines = table(spark, sf, "lineitem").select(c("l_orderkey").cast("string").alias("position_code"), c("l_quantity").cast(MONEY).alias("quantity"), c("l_extendedprice").cast(MONEY).alias("cost"), c("l_linestatus").alias("cost_type_code"))
-    # A match has one source, so its values come with the count by key and lines are read and shuffled once.
-    grouped = lines.groupBy("position_code").agg(F.count("*").alias("n"), F.min("quantity").alias("quantity"), F.min("cost").alias("cost"), F.min("cost_type_code").alias("cost_type_code"))
-    joined = targets.join(grouped, "position_code", "left")
-    matched = c("n") == 1
-    status = F.when(matched, "matched").when(c("n") > 1, "ambiguous").otherwise("unmatched")
-    selected = joined.select("*", status.alias("status"))
-    raw = F.when(matched, c("cost"))
-    out = selected.select(
-        "target_row_id", "status", "selected_cost", "writable", F.when(matched, F.round("quantity", 2).cast(MONEY)).alias("quantity"), raw.alias("cost_before_coefficient"),
-        calculation.rounded_cost(raw).alias("cost"), F.when(matched, calculation_category()).alias("category"),
+    whole = F.lit("all")
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    lines = table(spark, sf, "lineitem").select(
+        key.alias("source_row_id"), whole.alias("object_code"), whole.alias("subobject_code"), c("l_orderkey").cast("string").alias("position_code"), F.lit(None).cast("string").alias("work_name"), F.lit(None).cast("string").alias("unit"),
+        c("l_quantity").cast(MONEY).alias("quantity"), c("l_extendedprice").cast(MONEY).alias("cost"), c("l_linestatus").alias("cost_type_code"),
     )
-    over = c("cost").isNotNull() & quality_gate.exceeds_tolerance(c("cost"), c("selected_cost"))
-    block = (c("status") == "matched") & ~c("writable")
-    missing = c("cost").isNull()
-    rank = F.when(block | missing, 3).when((c("status") != "matched") | over, 2).otherwise(0)
-    return out.select("target_row_id", "status", "quantity", "cost_before_coefficient", "cost", "category", F.coalesce(over, F.lit(False)).alias("tolerance_exceeded"), quality_gate.decide(rank).alias("decision"))
-
-
-def calculation_category():
-    out = F.lit(calculation.UNCLASSIFIED)
-    for code, name in CATEGORIES.items():
-        out = F.when(c("cost_type_code") == code, name).otherwise(out)
-    return out
+    stages = reconciliation.Stages(resolve=lambda s, t: matching.match_by_keys(s, t, ("object_subobject_position",)), issues=lambda rows: quality_gate.issues(rows).filter(c("code").isin(*ORDER_CODES)))
+    run = reconciliation.reconcile(lines, targets, categories=CATEGORIES, stages=stages)
+    category = run.contributions.groupBy("target_row_id").agg(F.min("category").alias("category"))
+    worst = run.issues.groupBy("target_row_id").agg(F.max(quality_gate.severity_rank(c("severity"))).alias("rank"), F.bool_or(c("code") == "TOLERANCE_EXCEEDED").alias("over"))
+    out = run.results.select("target_row_id", "status").join(run.totals.select("target_row_id", "quantity", "cost_before_coefficient", "cost"), "target_row_id", "left").join(category, "target_row_id", "left").join(worst, "target_row_id", "left")
+    return out.select("target_row_id", "status", "quantity", "cost_before_coefficient", "cost", "category", F.coalesce("over", F.lit(False)).alias("tolerance_exceeded"), quality_gate.decide(c("rank")).alias("decision"))
 
 
 FLAGSHIP_SQL = """WITH g AS (SELECT l_orderkey, count(*) AS n, min(CAST(l_quantity AS DECIMAL(20,6))) AS q, min(CAST(l_extendedprice AS DECIMAL(20,6))) AS v, min(l_linestatus) AS k FROM lineitem GROUP BY l_orderkey),

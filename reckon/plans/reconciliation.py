@@ -14,17 +14,19 @@ from reckon.operators.bounded import sent
 
 @dataclass(frozen=True)
 class Stages:
-    """The pluggable stages."""
+    """The pluggable stages. resolve, if given, takes the place of match and select: (sources, targets) -> results."""
 
     match: Callable[..., DataFrame] = matching.candidates
     select: Callable[..., DataFrame] = matching.select_best
     totals: Callable[..., DataFrame] = calculation.target_totals
     issues: Callable[..., DataFrame] = quality_gate.issues
+    resolve: Callable[..., DataFrame] | None = None
 
 
 @dataclass(frozen=True)
 class Reconciliation:
     results: DataFrame
+    contributions: DataFrame
     totals: DataFrame
     issues: DataFrame
     decision: DataFrame
@@ -38,8 +40,7 @@ def reconcile(sources: DataFrame, targets: DataFrame, clauses: DataFrame | None
     cost_type_code. targets: target_row_id, the same keys, stage, selected_cost, writable. Nothing is computed before the
     caller uses a result.
     """
-    pairs = stages.match(sources, targets, clauses, fuzzy)
-    results = stages.select(targets, pairs)
+    results = stages.resolve(sources, targets) if stages.resolve else stages.select(targets, stages.match(sources, targets, clauses, fuzzy))
     chosen = results.filter("status = 'matched'").select("target_row_id", "source_row_id")
     s = sources.select("source_row_id", "quantity", "cost", "cost_type_code", F.col("unit").alias("source_unit"), F.col("work_name").alias("source_name"))
     t = targets.select("target_row_id", F.col("unit").alias("target_unit"), "work_name", "selected_cost", "writable")
@@ -62,4 +63,4 @@ def reconcile(sources: DataFrame, targets: DataFrame, clauses: DataFrame | None
         F.coalesce(F.col("calculation_status") != "calculated", F.lit(False)).alias("has_warnings"), "min_quantity", "min_cost", F.coalesce("sign_conflict", F.lit(False)).alias("sign_conflict"),
     )
     found = stages.issues(checked)
-    return Reconciliation(results, totals, found, quality_gate.decision(found), {"fuzzy": fuzzy, "allowed_units": allowed_units})
+    return Reconciliation(results, parts, totals, found, quality_gate.decision(found), {"fuzzy": fuzzy, "allowed_units": allowed_units})

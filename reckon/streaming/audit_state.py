@@ -21,8 +21,19 @@ def legal(before: str | None, state: str) -> bool:
     return state in STATES and (STATES.index(state) == at + 1 or (state == before == "DATA_COMMITTED"))
 
 
-def extend(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one run in arrival order (by `ts` within a batch); refused events change nothing and get no hash."""
+#: How long a finished run's state stays, so that late events of it are still refused.
+KEPT_MS = 24 * 3600 * 1000
+
+
+def extend(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState, kept_ms: int = KEPT_MS) -> Iterator[pd.DataFrame]:
+    """Events of one run in arrival order (by `ts` within a batch); refused events change nothing and get no hash.
+
+    A run whose last state is reached is forgotten when kept_ms have passed without an event; an open one never is, since
+    its chain could not go on.
+    """
+    if group.hasTimedOut:
+        group.remove()
+        return
     sequence, before, last = group.get if group.exists else (0, None, GENESIS)
     for b in batches:
         out = []
@@ -34,15 +45,22 @@ def extend(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> It
                 last = hashlib.sha256("\u001f".join((str(key[0]), str(sequence), state, previous, payload or "")).encode()).hexdigest()
             out.append((key[0], sequence if ok else None, state, payload, ok, previous, last if ok else None))
         group.update((sequence, before, last))
+        if before == STATES[-1]:
+            group.setTimeoutDuration(kept_ms)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         yield frame.astype({"event_sequence": "Int64"})
 
 
-def audit_stream(events: DataFrame) -> DataFrame:
+def audit_stream(events: DataFrame, kept_ms: int = KEPT_MS) -> DataFrame:
     """events (run_id, ts, state, payload), streaming: each with its place in the run's chain, or refused."""
-    return events.groupBy("run_id").applyInPandasWithState(extend, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        yield from extend(key, batches, group, kept_ms)
+
+    return events.groupBy("run_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def landing_stream(spark, schema: str, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files as they land, a bounded number a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def landing_stream(spark, schema: str, path: str, files_per_trigger: int = 1, watermark: tuple[str, str] | None = None) -> DataFrame:
+    """Parquet files as they land, a bounded number a trigger. watermark: a time column and how late its rows may come."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return rows.withWatermark(*watermark) if watermark else rows
