@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx) as a relation of cells, read from the package's XML: formula and cached value side by side.
+"""Workbooks as a relation of cells, read from the package's parts (.xlsx here): formula and cached value side by side.
 
 Numbers stay the text that the file holds and never pass through a float. Files come through Spark's own file readers,
 so any file system works, a lost task reads its file again, and one file is one unit of work.
@@ -14,6 +14,9 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reckon.sources.packages import package_cells
 
 SCHEMA = "file string, sheet string, sheet_index int, visible boolean, row int, col int, formula string, value string, kind string, merged string"
 #: Bounds of an admitted package: members, inflated bytes, ratio of a member.
@@ -52,6 +55,9 @@ def text_of(node: ET.Element | None) -> str:
 
 def workbook_cells(body: bytes, file: str, max_row: int | None = None, max_col: int | None = None) -> Iterator[tuple]:
     """Rows of SCHEMA for one package, sheets in order; rows and columns beyond the bounds are not parsed further."""
+    if (other := package_cells(body, file, max_row, max_col)) is not None:
+        yield from other
+        return
     with zipfile.ZipFile(io.BytesIO(body)) as z:
         admit(z)
         names = set(z.namelist())
@@ -121,3 +127,13 @@ def read_cells(spark: SparkSession, *paths: str, max_row: int | None = None, max
                 yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(parse, SCHEMA)
+
+
+def sheet_metadata(cells: DataFrame) -> DataFrame:
+    """One row per sheet: index, visibility, cells, formulas, errors, merged ranges, and the rows and columns that are used."""
+    filled = F.col("kind") != "empty"
+    of = lambda f, c: f(F.when(filled, F.col(c)))
+    return cells.groupBy("file", "sheet").agg(
+        F.min("sheet_index").alias("sheet_index"), F.bool_and("visible").alias("visible"), F.count_if(filled).alias("n_cells"), F.count("formula").alias("n_formulas"), F.count_if(F.col("kind") == "error").alias("n_errors"),
+        F.count_distinct("merged").alias("n_merged"), of(F.min, "row").alias("first_row"), of(F.max, "row").alias("last_row"), of(F.min, "col").alias("first_col"), of(F.max, "col").alias("last_col"),
+    )

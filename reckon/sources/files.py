@@ -50,6 +50,51 @@ def repaired_name(name: str, flags: int) -> str:
     return name
 
 
+MATERIAL = "path string, member string, size_bytes long, crc32 long, sha256 string, content binary, status string"
+
+
+def materialized(spark: SparkSession, path: str, member: str | None = None, expected: tuple[int | None, int | None] = (None, None), most_bytes: int = MOST_MEMBER_BYTES) -> DataFrame:
+    """One row: a bounded copy of a file, or of one member of a ZIP archive, whose size and check sum were looked at.
+
+    expected: size and CRC-32 that a manifest names (None: not known). status: 'ok', 'too_large' (nothing is kept beyond the
+    bound), 'not_found', 'unsafe', 'damaged' (the archive's own check sum does not hold) or 'changed' (not what is expected).
+    Without 'ok' there is no content.
+    """
+    import hashlib
+    import io
+    import zipfile
+    import zlib
+
+    def copied(body: bytes) -> tuple[bytes | None, str]:
+        if member is None:
+            return (body, "ok") if len(body) <= most_bytes else (None, "too_large")
+        if unsafe_member(member):
+            return None, "unsafe"
+        try:
+            with zipfile.ZipFile(io.BytesIO(body)) as z:
+                info = next((m for m in z.infolist() if repaired_name(m.filename, m.flag_bits) == member), None)
+                if info is None:
+                    return None, "not_found"
+                with z.open(info) as f:  # the directory's size may lie, so the bound is on what comes out
+                    out = f.read(most_bytes + 1)
+                    return (out, "ok") if len(out) <= most_bytes else (None, "too_large")
+        except (zipfile.BadZipFile, zlib.error, EOFError):
+            return None, "damaged"
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, body in zip(b["path"], b["content"]):
+                out, status = copied(bytes(body))
+                size, crc = (len(out), zlib.crc32(out)) if out is not None else (None, None)
+                if out is not None and any(want is not None and want != got for want, got in zip(expected, (size, crc))):
+                    out, status = None, "changed"
+                digest = hashlib.sha256(out).hexdigest() if out is not None else None
+                row = pd.DataFrame([(at, member, size, crc, digest, out, status)], columns=[c.split()[0] for c in MATERIAL.split(", ")])
+                yield row.astype({"size_bytes": "Int64", "crc32": "Int64"})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(copy, MATERIAL)
+
+
 def zip_members(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per member of ZIP archives, from their directories alone; nothing is inflated.
 

@@ -51,7 +51,7 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["j2_exact_business_key", "j3_index_position", "j4_object_subobject_position", "j5_name_unit", "j6_name_context", "r3_best_strategy_by_keys", "j14_inherited_codes", "j23_near_variants", "j24_ancestors"])
+@pytest.mark.parametrize("name", ["j2_exact_business_key", "j3_index_position", "j4_object_subobject_position", "j5_name_unit", "j6_name_context", "r3_best_strategy_by_keys", "j8_fuzzy_names", "j14_inherited_codes", "j23_near_variants", "j24_ancestors", "r6_lexical_top_k", "r7_dense_top_k", "r10_active_learning_queue", "r13_assist_pairs", "a12_review_groups", "a13_review_clusters", "a22_retrieval_evaluation", "a29_rule_conflicts", "f13_eligible_evidence"])
 def test_no_cartesian_product(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -1,7 +1,11 @@
 """Plug-ins, lifecycle, blocks of searches, and checks of sizes, on literal rows."""
 
+import io
 import random
+import struct
 import subprocess
+import zipfile
+import zlib
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,6 +13,7 @@ import pytest
 from reckon.functions import rules
 from reckon.operators import bounded, matching, mining, retrieval, rows, writing
 from reckon.plans import lifecycle, plugins
+from reckon.sources import cells, files, packages
 
 
 def test_lifecycle_is_monotone_and_cancels(spark):
@@ -162,3 +167,71 @@ def test_patches_conflict_and_rules_overlap(spark):
     schema = "rule_id string, definition string, exclusive boolean, action string, match_kind string, literal string, object_scopes array<string>, stages array<string>"
     clauses = spark.createDataFrame([("a", "1", True, "include", "exact", "Pipe", [], ["x"]), ("b", "2", True, "include", "exact", "pipe", ["o"], ["x", "y"]), ("c", "3", True, "include", "exact", "pipe", ["o"], ["z"]), ("d", "4", False, "include", "exact", "pipe", [], []), ("a", "5", True, "exclude", "exact", "wire", [], [])], schema)
     assert sorted((r.kind, r.rule_ids) for r in rules.conflicts(clauses).collect()) == [("DUPLICATE_RULE_ID", ["a", "a"]), ("EXCLUSIVE_SCOPE_OVERLAP", ["a", "b"])]
+
+
+def record(number, data):
+    out = bytes([number]) if number < 128 else bytes([(number & 0x7F) | 0x80, number >> 7])
+    size = len(data)
+    while True:
+        part, size = size & 0x7F, size >> 7
+        out += bytes([part | (0x80 if size else 0)])
+        if not size:
+            return out + data
+
+
+def wide(text):
+    return struct.pack("<I", len(text)) + text.encode("utf-16-le")
+
+
+def test_binary_workbooks(spark, tmp_path):
+    at = lambda col: struct.pack("<II", col, 0)
+    big = "x" * 300
+    sheet = record(packages.ROW, struct.pack("<I", 0)) + record(packages.SHARED, at(0) + struct.pack("<I", 1)) + record(packages.RK, at(1) + struct.pack("<I", 1234 << 2 | 3)) + record(packages.RK, at(2) + struct.pack("<i", -7 << 2 | 2)) + record(packages.BLANK, at(3))
+    sheet += record(packages.ROW, struct.pack("<I", 4)) + record(packages.F_REAL, at(0) + struct.pack("<d", 0.1) + b"tokens") + record(packages.ERROR, at(1) + b"\x17") + record(packages.BOOL, at(2) + b"\x01") + record(packages.TEXT, at(27) + wide(big)) + record(packages.REAL, at(5) + struct.pack("<d", 2.0))
+    sheet += record(packages.MERGED, struct.pack("<4I", 0, 1, 0, 2))
+    (half,) = struct.unpack("<Q", struct.pack("<d", 0.5))
+    sheet += record(packages.ROW, struct.pack("<I", 9)) + record(packages.RK, at(0) + struct.pack("<I", half >> 32))
+    with zipfile.ZipFile(tmp_path / "b.xlsb", "w") as z:
+        z.writestr("xl/workbook.bin", record(packages.SHEET, struct.pack("<II", 0, 1) + wide("rId1") + wide("Лист")) + record(packages.SHEET, struct.pack("<II", 1, 2) + wide("rId2") + wide("hidden")))
+        z.writestr("xl/_rels/workbook.bin.rels", '<R><a Id="rId1" Target="worksheets/sheet1.bin"/><a Id="rId2" Target="/xl/worksheets/sheet2.bin"/></R>')
+        z.writestr("xl/sharedStrings.bin", record(packages.STRING, b"\0" + wide("zero")) + record(packages.STRING, b"\0" + wide("one")))
+        z.writestr("xl/worksheets/sheet1.bin", sheet)
+        z.writestr("xl/worksheets/sheet2.bin", b"")
+    read = cells.read_cells(spark, str(tmp_path / "b.xlsb"))
+    got = {(r.row, r.col): (r.formula, r.value, r.kind, r.merged) for r in read.collect()}
+    assert got == {
+        (1, 1): (None, "one", "text", "A1:C2"), (1, 2): (None, "12.34", "number", None), (1, 3): (None, "-7", "number", None), (1, 4): (None, None, "empty", None), (5, 1): ("=", "0.1", "number", None),
+        (5, 2): (None, "#REF!", "error", None), (5, 3): (None, "1", "boolean", None), (5, 28): (None, big, "text", None), (5, 6): (None, "2", "number", None), (10, 1): (None, "0.5", "number", None),
+    }
+    meta = cells.sheet_metadata(read).first()
+    assert (meta.sheet, meta.n_cells, meta.n_formulas, meta.n_errors, meta.first_row, meta.last_row, meta.last_col, meta.n_merged) == ("Лист", 9, 1, 1, 1, 10, 28, 1)
+    assert {(r.row, r.col) for r in cells.read_cells(spark, str(tmp_path / "b.xlsb"), max_row=5, max_col=3).collect()} == {(1, 1), (1, 2), (1, 3), (5, 1), (5, 2), (5, 3)}
+
+
+def test_open_documents(spark, tmp_path):
+    names = " ".join(f'xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{k}:1.0"' for k in ("office", "table", "text"))
+    body = f'''<office:document-content {names}><office:body><office:spreadsheet><table:table table:name="S">
+      <table:table-row table:number-rows-repeated="2"><table:table-cell table:number-columns-repeated="2"/><table:table-cell office:value-type="float" office:value="1.50" table:formula="of:=[.A1]+1"><text:p>1,5</text:p></table:table-cell></table:table-row>
+      <table:table-row table:number-rows-repeated="1000000"><table:table-cell table:number-columns-repeated="500"/></table:table-row>
+      <table:table-row><table:table-cell office:value-type="string" table:number-columns-spanned="2"><text:p>a</text:p><text:p>b</text:p></table:table-cell><table:covered-table-cell/><table:table-cell office:value-type="date" office:date-value="2026-01-02"/></table:table-row>
+    </table:table></office:spreadsheet></office:body></office:document-content>'''
+    with zipfile.ZipFile(tmp_path / "o.ods", "w") as z:
+        z.writestr("content.xml", body)
+    got = {(r.row, r.col): (r.formula, r.value, r.kind, r.merged) for r in cells.read_cells(spark, str(tmp_path / "o.ods")).collect()}
+    assert got == {(1, 3): ("=[.A1]+1", "1.50", "number", None), (2, 3): ("=[.A1]+1", "1.50", "number", None), (1000003, 1): (None, "a\nb", "text", "A1000003:B1000003"), (1000003, 3): (None, "2026-01-02", "date", None)}
+
+
+def test_materialized_copies(spark, tmp_path):
+    body = b"some text " * 100
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("in/файл.txt", body)
+    path = str(tmp_path / "a.zip")
+    one = lambda **kw: files.materialized(spark, path, **kw).first()
+    r = one(member="in/файл.txt", expected=(len(body), zlib.crc32(body)))
+    assert (r.status, bytes(r.content), r.size_bytes, r.crc32) == ("ok", body, len(body), zlib.crc32(body))
+    assert [one(member="in/файл.txt", expected=(1, None)).status, one(member="no").status, one(member="../x").status, one(member="in/файл.txt", most_bytes=10).status, one(most_bytes=10).status] == ["changed", "not_found", "unsafe", "too_large", "too_large"]
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[raw.index(b"some text") + 3] ^= 1
+    (tmp_path / "a.zip").write_bytes(bytes(raw))
+    r = one(member="in/файл.txt")
+    assert r.status == "damaged" and r.content is None and one().status == "ok" and io.BytesIO(bytes(one().content)).read() == bytes(raw)
