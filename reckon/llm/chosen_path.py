@@ -33,10 +33,10 @@ TOKENS = 32
 BUCKET = 48
 LEVELS = 3
 #: Sets and shingles (8 bytes each) of a block of a larger leaf: two blocks are what a task holds at a time.
-BLOCK = 2048
-BLOCK_ITEMS = 2_000_000
+BLOCK = 1024
+BLOCK_ITEMS = 1_000_000
 #: Values that one matrix product covers, and rows whose tokens are compared at once.
-SLICE, TILE = 4096, 64
+SLICE, TILE = 2048, 64
 _WORDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
