@@ -21,15 +21,11 @@ def legal(before: str | None, state: str) -> bool:
     return state in STATES and (STATES.index(state) == at + 1 or (state == before == "DATA_COMMITTED"))
 
 
-#: How long a finished run's state stays, so that late events of it are still refused.
-KEPT_MS = 24 * 3600 * 1000
-
-
-def extend(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState, kept_ms: int = KEPT_MS) -> Iterator[pd.DataFrame]:
+def extend(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState, kept_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """Events of one run in arrival order (by `ts` within a batch); refused events change nothing and get no hash.
 
-    A run whose last state is reached is forgotten when kept_ms have passed without an event; an open one never is, since
-    its chain could not go on.
+    With kept_ms, a run whose last state is reached is forgotten when so long has passed without an event; an open one never
+    is, since its chain could not go on.
     """
     if group.hasTimedOut:
         group.remove()
@@ -45,19 +41,24 @@ def extend(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState, kept_
                 last = hashlib.sha256("\u001f".join((str(key[0]), str(sequence), state, previous, payload or "")).encode()).hexdigest()
             out.append((key[0], sequence if ok else None, state, payload, ok, previous, last if ok else None))
         group.update((sequence, before, last))
-        if before == STATES[-1]:
+        if kept_ms and before == STATES[-1]:
             group.setTimeoutDuration(kept_ms)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         yield frame.astype({"event_sequence": "Int64"})
 
 
-def audit_stream(events: DataFrame, kept_ms: int = KEPT_MS) -> DataFrame:
-    """events (run_id, ts, state, payload), streaming: each with its place in the run's chain, or refused."""
+def audit_stream(events: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """events (run_id, ts, state, payload), streaming: each with its place in the run's chain, or refused.
+
+    kept_ms: how long a finished run's state stays, so that late events of it are still refused. A query that goes on needs
+    it, or its state grows with the runs; one that ends with its input has none, since timeouts keep triggers going.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         yield from extend(key, batches, group, kept_ms)
 
-    return events.groupBy("run_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if kept_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("run_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def landing_stream(spark, schema: str, path: str, files_per_trigger: int = 1, watermark: tuple[str, str] | None = None) -> DataFrame:
