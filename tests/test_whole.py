@@ -235,3 +235,14 @@ def test_materialized_copies(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(bytes(raw))
     r = one(member="in/файл.txt")
     assert r.status == "damaged" and r.content is None and one().status == "ok" and io.BytesIO(bytes(one().content)).read() == bytes(raw)
+
+
+def test_discrepancies_are_numbered_and_manifests_enriched(spark):
+    violations = spark.createDataFrame([(2, "b", 1.0), (1, "a", 2.0), (1, "b", 3.0)], "object_index int, issue_code string, difference double")
+    places = spark.createDataFrame([("f", 1, "C4", "D4"), ("f", 2, "C9", "D9")], "file string, object_index int, quantity_cell string, cost_cell string")
+    got = [(r.line, r.object_index, r.issue_code, r.cost_cell) for r in writing.discrepancy_lines(violations, places, ["object_index"]).orderBy("line").collect()]
+    assert got == [(1, 1, "a", "D4"), (2, 1, "b", "D4"), (3, 2, "b", "D9")]
+    files_in = spark.createDataFrame([("1", "2026-01/КС-2 1005 (605) 01.2026 ред. 2.xlsx", "КС-2 1005 (605) 01.2026 ред. 2.xlsx"), ("2", "черновик.xlsx", "черновик.xlsx")], "file_id string, path string, filename string")
+    one, two = rows.enriched_manifest(files_in).orderBy("file_id").collect()
+    assert (one["index"].value, one.period.value, one.revision.number, one["class"].document_type, one.is_outdated_or_draft, one.needs_index) == ("1005 (605)", "2026-01", 2, "ks2", False, False)
+    assert two.is_outdated_or_draft and two.needs_index
