@@ -54,6 +54,27 @@ def name_context_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return by_object.select("source_row_id", "target_row_id").unionByName(rest.select("source_row_id", "target_row_id"))
 
 
+def _counted(rows: DataFrame, keys: Sequence[str], given: str) -> DataFrame:
+    """(keys, n): rows by key columns, of those that meet a condition."""
+    return rows.filter(given).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def _totals(parts: list[DataFrame]) -> DataFrame:
+    """(target_row_id, n): sums over (target_row_id, n) parts, of targets with any."""
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("target_row_id").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def equi_counts(sources: DataFrame, targets: DataFrame, strategy: str) -> DataFrame:
+    """(target_row_id, n): how many pairs equi_pairs gives a target, without making them: sources are counted by key first."""
+    keys = KEYS[strategy]
+    filled = " and ".join(f"{k} <> ''" for k in keys)
+    met = targets.filter(filled).select("target_row_id", *keys).join(_counted(sources, keys, filled), list(keys))
+    return _totals([met.select("target_row_id", "n")])
+
+
 def _unit_ok(clause: str, unit: Column) -> Column:
     allowed, excluded = F.col(f"{clause}.source_units"), F.col(f"{clause}.excluded_units")
     return ((F.size(allowed) == 0) | F.coalesce(F.array_contains(allowed, unit), F.lit(False))) & ~F.coalesce(F.array_contains(excluded, unit), F.lit(False))
