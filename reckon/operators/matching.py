@@ -75,6 +75,20 @@ def equi_counts(sources: DataFrame, targets: DataFrame, strategy: str) -> DataFr
     return _totals([met.select("target_row_id", "n")])
 
 
+def name_context_counts(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_row_id, n): how many pairs name_context_pairs gives a target, without making them.
+
+    Sources are counted by name and object, and by name and subobject; those that agree in both are in both counts, so they
+    are counted by all three and taken off once.
+    """
+    parts = []
+    for keys, sign in ((["object_code"], 1), (["subobject_code"], 1), (["object_code", "subobject_code"], -1)):
+        keys = ["work_name", *keys]
+        met = targets.select("target_row_id", *keys).join(_counted(sources, keys, " and ".join(f"{k} is not null" for k in keys)), keys)
+        parts.append(met.select("target_row_id", (F.col("n") * sign).alias("n")))
+    return _totals(parts)
+
+
 def _unit_ok(clause: str, unit: Column) -> Column:
     allowed, excluded = F.col(f"{clause}.source_units"), F.col(f"{clause}.excluded_units")
     return ((F.size(allowed) == 0) | F.coalesce(F.array_contains(allowed, unit), F.lit(False))) & ~F.coalesce(F.array_contains(excluded, unit), F.lit(False))
