@@ -138,13 +138,18 @@ def apply_overrides(columns: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def position_column(cells: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(file, sheet, col) of the one column whose content is a numbering hierarchy: 4 codes, 2 ancestor pairs, a clear lead."""
+    """(file, sheet, col) of the one column whose content is a numbering hierarchy: 4 codes, 2 ancestor pairs, a clear lead.
+
+    Equal codes of a column are counted first; a pair of codes stands for as many ancestor pairs as the product of the counts.
+    """
     codes = cells.withColumn("seg", position_segments(F.col("value"))).filter("seg is not null").select(*SHEET, "col", "row", "seg")
     if excluded is not None:
         codes = codes.join(excluded, [*SHEET, "col"], "left_anti")
-    n = codes.groupBy(*SHEET, "col").agg(F.count("*").alias("n"))
-    above = codes.filter(F.size("seg") > 1).select(*SHEET, "col", F.explode(F.transform(F.sequence(F.lit(1), F.size("seg") - 1), lambda k: F.slice("seg", F.lit(1), k))).alias("seg"))
-    pairs = above.join(codes, [*SHEET, "col", "seg"]).groupBy(*SHEET, "col").agg(F.count("*").alias("p"))
+    codes = codes.groupBy(*SHEET, "col", "seg").agg(F.count("*").alias("n"))
+    n = codes.groupBy(*SHEET, "col").agg(F.sum("n").alias("n"))
+    above = codes.filter(F.size("seg") > 1).select(*SHEET, "col", F.explode(F.transform(F.sequence(F.lit(1), F.size("seg") - 1), lambda k: F.slice("seg", F.lit(1), k))).alias("seg"), F.col("n").alias("below"))
+    above = above.groupBy(*SHEET, "col", "seg").agg(F.sum("below").alias("below"))
+    pairs = above.join(codes, [*SHEET, "col", "seg"]).groupBy(*SHEET, "col").agg(F.sum(F.col("below") * F.col("n")).alias("p"))
     scored = n.join(pairs, [*SHEET, "col"]).filter("n >= 4 and p >= 2").withColumn("s", F.col("n") + 3 * F.col("p"))
     r = F.rank().over(Window.partitionBy(*SHEET).orderBy(F.desc("s")))
     return scored.withColumn("r", r).filter("r = 1").groupBy(*SHEET).agg(F.count("*").alias("k"), F.min("col").alias("col")).filter("k = 1").drop("k")
