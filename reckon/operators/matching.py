@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from reckon.operators.bounded import sent
 
@@ -141,6 +142,68 @@ def rule_pairs(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> Da
     )
 
 
+#: Clauses that one word of a clause set holds.
+WORD = 63
+
+
+def numbered(clauses: DataFrame) -> tuple[DataFrame, int]:
+    """The approved clauses (configuration, behind a check of their size), each with a bit (word, flag), and the number of words."""
+    live = clauses.filter("owner_approved and status = 'approved'")
+    sent(live, "rule clauses")
+    rows = live.collect()
+    schema = StructType([*live.schema.fields, StructField("at", LongType()), StructField("word", IntegerType()), StructField("flag", LongType())])
+    table = clauses.sparkSession.createDataFrame([(*r, i, i // WORD, 1 << i % WORD) for i, r in enumerate(rows)], schema)
+    return F.broadcast(table), max(1, -(-len(rows) // WORD))
+
+
+def _words(side: str, n: int) -> list[str]:
+    return [f"{side}{k}" for k in range(n)]
+
+
+def _clause_set(side: str, n: int) -> list[Column]:
+    """Aggregates: the set of a group's clauses, in n words."""
+    return [F.bit_or(F.when(F.col("word") == k, F.col("flag")).otherwise(0)).alias(w) for k, w in enumerate(_words(side, n))]
+
+
+def rule_profiles(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What rule_pairs says of a target, without making the pairs.
+
+    Sources are counted by the set of clauses that they meet, targets have the set of clauses that mean them, and sets meet
+    sets by clause. First table: target_row_id and its set (words). Second, by set: n_sources, rule_ids, rule_confidence,
+    blocked, manual (over all pairs of a target); n_blocked pairs, n_free pairs that may be chosen, and first_free, the
+    least source of these.
+    """
+    live, n = numbered(clauses)
+    live = live.alias("c")
+    s, t = _words("_s", n), _words("_t", n)
+    meets = clause_matches("c", F.col("s.work_name"), F.col("s.unit")) & _listed("c", "scope_units", F.col("s.unit"))
+    found = sources.select("source_row_id", "work_name", "unit").alias("s").join(live, meets).groupBy("source_row_id").agg(*_clause_set("_s", n))
+    found = found.groupBy(*s).agg(F.count("*").alias("n"), F.min("source_row_id").alias("first"))
+    meant = targets.alias("t").join(live, target_scope("c", F.col("t.object_code"), F.col("t.stage"), F.col("t.work_name"))).groupBy("target_row_id").agg(*_clause_set("_t", n))
+    holds = lambda words: F.get(F.array(*words), F.col("c.word")).bitwiseAND(F.col("c.flag")) != 0
+    sure = F.lit("0").cast(CONFIDENCE)
+    for kind, value in RULE_CONFIDENCE.items():
+        sure = F.when(F.col("match_kind") == kind, F.lit(value).cast(CONFIDENCE)).otherwise(sure)
+    left = meant.select(*t).distinct().join(live, holds(t)).select(*t, "at", "rule_id", "action", sure.alias("sure"))
+    pairs = left.join(found.join(live, holds(s)).select(*s, "n", "first", "at"), "at").groupBy(*t, *s).agg(
+        F.max("n").alias("n"), F.max("first").alias("first"), F.collect_set("rule_id").alias("rule_ids"), F.max("sure").alias("sure"),
+        F.bool_or(F.col("action") == "exclude").alias("blocked"), F.bool_or(F.col("action") == "needs_review").alias("manual"),
+    )
+    free = ~F.col("blocked") & ~F.col("manual")
+    totals = pairs.groupBy(*t).agg(
+        F.sum("n").alias("n_sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_ids")))).alias("rule_ids"), F.max("sure").alias("rule_confidence"), F.bool_or("blocked").alias("blocked"), F.bool_or("manual").alias("manual"),
+        F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("n_blocked"), F.sum(F.when(free, F.col("n")).otherwise(0)).alias("n_free"), F.min(F.when(free, F.col("first"))).alias("first_free"),
+    )
+    return meant, totals
+
+
+def rule_totals(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> DataFrame:
+    """One row per target that a rule joins to a source: n_sources, rule_ids, rule_confidence, blocked, manual."""
+    meant, totals = rule_profiles(sources, targets, clauses)
+    words = [w for w in meant.columns if w != "target_row_id"]
+    return meant.join(totals, words).select("target_row_id", "n_sources", "rule_ids", "rule_confidence", "blocked", "manual")
+
+
 def sequence_ratio(a: str, b: str) -> Decimal:
     """Twice the characters in matching blocks over all characters (longest block first, both sides recursively)."""
     same = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
