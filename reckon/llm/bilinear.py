@@ -43,8 +43,8 @@ WIDTH, GROUP_NOISE, NOISE, BATCH, RUN = 31, 32, 12, 4096, 32
 #: Words of the mean, how far a context reaches back, and rounds of training.
 MEAN, REACH, ROUNDS = 16, 18, 2
 RATE = 0.05
-#: Places that are scored at a time.
-AT_ONCE = 32_768
+#: Places that are scored at a time, and of them those whose contexts and groups are (they stay in a core's cache).
+AT_ONCE, BLOCK = 32_768, 2048
 #: Bytes of texts that are split into words at a time, in counting and in training or scoring.
 COUNTED_BYTES, READ_BYTES = 32_000_000, 8_000_000
 #: Vectors of a merging group, and parts that one merging step takes together.
@@ -175,12 +175,13 @@ class Places:
             self.real[at + lead : at + len(ids)] = True
             at += len(ids) + REACH
 
-    def contexts(self, context: np.ndarray) -> np.ndarray:
-        """For each place, the vectors of the last word, of the last but one, and the mean of those before (the first axis)."""
-        each = context[self.ids]
+    def contexts(self, context: np.ndarray, low: int = 0, high: int | None = None) -> np.ndarray:
+        """For each place from low to high, the vectors of the last word, of the last but one, and the mean of those before (the
+        first axis). The first REACH places lack what lies before low."""
+        each = context[self.ids[low:high]]
         out = np.zeros((3, *each.shape), dtype=np.float32)
         out[0, 1:], out[1, 2:] = each[:-1], each[:-2]
-        each[~self.text] = 0
+        each[~self.text[low:high]] = 0
         for width in (1, 2, 4, 8):  # sums of 2, 4, 8 and MEAN places
             each[width:] = each[width:] + each[:-width]
         out[2, 3:] = each[:-3] / MEAN
@@ -331,11 +332,16 @@ def batched(columns: Iterator[pa.Array], numbers: Numbers, symbol_of: np.ndarray
         yield held
 
 
-def log_normalised(h: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithms of the shares of the vectors `at` in the softmax of h's products with all the vectors."""
+def longest(vectors: np.ndarray) -> float:
+    return float(np.einsum("ij,ij->i", vectors, vectors).max()) ** 0.5
+
+
+def log_normalised(h: np.ndarray, vectors: np.ndarray, at: np.ndarray, most: float) -> np.ndarray:
+    """Logarithms of the shares of the vectors `at` in the softmax of h's products with all the vectors. No product exceeds
+    `most`, in either direction."""
     scores = h @ vectors.T
     picked = scores[np.arange(len(at)), at].astype(np.float64)
-    if scores.max() < 60 and picked.min() > -60:  # neither overflow nor an empty sum
+    if most < 60 or (scores.max() < 60 and picked.min() > -60):  # neither overflow nor an empty sum
         return picked - np.log(np.exp(scores, out=scores) @ np.ones(len(vectors), dtype=np.float32))
     top = scores.max(axis=1, keepdims=True)
     scores -= top
@@ -346,14 +352,24 @@ def log_probabilities(model: Model, found: list[tuple[np.ndarray, int]]) -> np.n
     """Natural log-probabilities of the pieces' symbols, in order, without those that lead."""
     context, symbol, group, place = model.parts
     p = Places(found, model.size)
-    h, target = states(p.contexts(context)[:, p.real], place), p.ids[p.real]
+    target = p.ids[p.real]
     own = model.group_of[target]
-    out = log_normalised(h, group, own)
+    h, out, n = np.empty((len(target), WIDTH + 1), dtype=np.float32), np.empty(len(target)), 0
+    of_group = longest(group)
+    for low in range(0, len(p.ids), BLOCK):
+        lead = min(low, REACH)
+        real = np.flatnonzero(p.real[low : low + BLOCK])
+        if len(real):
+            some = slice(n, n + len(real))
+            h[some] = states(p.contexts(context, low - lead, low + BLOCK), place)[lead + real]
+            out[some] = log_normalised(h[some], group, own[some], longest(h[some]) * of_group)
+            n += len(real)
     order = np.argsort(own.astype(np.uint16), kind="stable")
     cuts = np.searchsorted(own[order], np.arange(len(model.begin)))
+    most = longest(h) * longest(symbol) if len(h) else 0.0
     for g in np.flatnonzero(np.diff(cuts)):
         rows, low = order[cuts[g] : cuts[g + 1]], model.begin[g]
-        out[rows] += log_normalised(h[rows], symbol[low : model.begin[g + 1]], target[rows] - low)
+        out[rows] += log_normalised(h[rows], symbol[low : model.begin[g + 1]], target[rows] - low, most)
     return out
 
 

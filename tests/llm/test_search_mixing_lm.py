@@ -132,6 +132,15 @@ def test_probabilities_against_loops():
     assert np.allclose(each(model, [text]), loops(model, text), atol=1e-4)
 
 
+def test_blocks_of_places_do_not_show(monkeypatch):
+    model, rng = small_model(), np.random.default_rng(5)
+    texts = [rng.integers(0, model.size, n).tolist() for n in (1, 17, 18, 19, 63, 200, 2, 64)]
+    whole = each(model, texts)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(bilinear, "BLOCK", block)
+        assert np.allclose(each(model, texts), whole, atol=1e-4)
+
+
 def test_gradients_go_back_to_the_words_of_the_context():
     rng = np.random.default_rng(3)
     found = [p for n in (1, 5, 40) for p in bilinear.pieces(rng.integers(0, 6, n), 1000)]
