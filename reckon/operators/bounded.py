@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table of rules, aliases or labels may have.
@@ -14,3 +17,15 @@ def sent(table: DataFrame, what: str, most: int = MOST_ROWS) -> DataFrame:
     if table.limit(most + 1).count() > most:
         raise ValueError(f"{what}: more than {most} rows, too many to send to every executor")
     return F.broadcast(table)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the runs inside go at their ends; the session's setting for that is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

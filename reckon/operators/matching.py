@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from reckon.operators.bounded import sent
+from reckon.operators.bounded import MOST_ROWS, sent, tidy
 
 #: Strategies from best to worst, with their confidence.
 STRATEGIES = {
@@ -309,6 +309,119 @@ def select_best(targets: DataFrame, pairs: DataFrame) -> DataFrame:
     return targets.select("target_row_id").join(best, "target_row_id", "left").join(ranked, "target_row_id", "left").select("target_row_id", *_status(F.col("b.n"), F.col("b.ordinal"), F.col("b.source_row_id"), F.col("n_candidates"), F.col("open")))
 
 
+def small(table: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """The table, to be broadcast if it has no more than `most` rows; else itself, and joins shuffle."""
+    with tidy(table.sparkSession):
+        rows = table.limit(most + 1).collect()
+    return table if len(rows) > most else F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def repeated_ids(rows: DataFrame, ident: str, looks: Sequence[str]) -> tuple[bool, bool]:
+    """Whether ids repeat, and whether rows of one id differ in `looks`. Ids are compared by hash, so a yes may be wrong, a no never."""
+    own = F.xxhash64(*(F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in looks))
+    by_id = rows.select(F.xxhash64(ident).alias("id"), own.alias("own")).groupBy("id").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+    with tidy(rows.sparkSession):
+        found = by_id.filter("n > 1").agg(F.count("*").alias("n"), F.bool_or(F.col("low") != F.col("high")).alias("differ")).first()
+    return found.n > 0, bool(found.differ)
+
+
+LOOKS = ("object_code", "subobject_code", "position_code", "work_name", "unit", "document_index")
+
+
+def select_by_counts(sources: DataFrame, targets: DataFrame, clauses: DataFrame) -> DataFrame:
+    """select_best(targets, candidates(sources, targets, clauses)), without making the pairs.
+
+    Sources are counted by keys, unit and set of clauses: by position, by index, by name and object, by name and subobject,
+    by name and unit. A target meets one row of each, a list of counts. Its candidates are those of the rules and, of the
+    key strategies, those that no rule joins, each taken from the first list that holds it. Selectable ones are counted by
+    strategy; the lowest with any decides, and there no other count can hold a better one. Ids that stand for different
+    rows are compared pair by pair.
+    """
+    again, differ = repeated_ids(sources, "source_row_id", LOOKS)
+    if differ or repeated_ids(targets, "target_row_id", LOOKS)[0]:
+        return select_best(targets, candidates(sources, targets, clauses))
+    if again:
+        sources = sources.dropDuplicates(["source_row_id"])
+    live, n_words = numbered(clauses)
+    live, words, meant = live.alias("c"), _words("_s", n_words), _words("_t", n_words)
+
+    def with_set(rows: DataFrame, keys: list[str], meets: Column, side: str) -> DataFrame:
+        """rows with the set of clauses that they meet, told from the keys alone."""
+        sets = small(rows.select(*keys).distinct().alias("x").join(live, meets).groupBy(*keys).agg(*_clause_set(side, n_words)))
+        sets = sets.select(*(F.col(k).alias(f"_{k}") for k in keys), *_words(side, n_words))
+        out = rows.join(sets, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+        return out.select(*rows.columns, *(F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in _words(side, n_words)))
+
+    s = with_set(sources.select("source_row_id", *LOOKS), ["work_name", "unit"], clause_matches("c", F.col("x.work_name"), F.col("x.unit")) & _listed("c", "scope_units", F.col("x.unit")), "_s")
+    t = with_set(targets.select("target_row_id", "stage", *LOOKS), ["object_code", "stage", "work_name"], target_scope("c", F.col("x.object_code"), F.col("x.stage"), F.col("x.work_name")), "_t")
+
+    filled = lambda keys: " and ".join(f"{k} <> ''" for k in keys)
+    present = lambda keys: " and ".join(f"{k} is not null" for k in keys)
+
+    def with_counts(t: DataFrame, rows: DataFrame, keys: list[str], given: str, rest: list[str], few: bool, **found: Column) -> DataFrame:
+        """t with what it finds in the list of its keys: counts of sources by the rest of the looks and the set of clauses, with
+        the least id. Lists of few kinds are made of partial counts; others of sources dealt by key, which move once."""
+        rows = rows.filter(given)
+        counts = (rows if few else rows.repartition(*keys)).groupBy(*keys, *rest, *words).agg(F.count("*").alias("n"), F.min("source_row_id").alias("first"))
+        lists = counts.groupBy(*keys).agg(F.collect_list(F.struct(*rest, *words, "n", "first")).alias("list"))
+        return t.join(small(lists) if few else lists, keys, "left").select(*t.columns, *(x.alias(name) for name, x in found.items()))
+
+    exclude = [0] * n_words
+    review = [0] * n_words
+    for r in live.filter("action in ('exclude', 'needs_review')").select("action", "word", "flag").collect():
+        (exclude if r.action == "exclude" else review)[r.word] |= r.flag
+    both = lambda x, k: x[words[k]].bitwiseAND(F.col(meant[k]))
+    every = lambda test: [test(k) for k in range(n_words)]
+
+    def all_of(tests: list[Column]) -> Column:
+        out = tests[0]
+        for other in tests[1:]:
+            out = out & other
+        return out
+
+    unruled = lambda x: all_of(every(lambda k: both(x, k) == 0))
+    free = lambda x: all_of(every(lambda k: both(x, k).bitwiseAND(F.lit(exclude[k] | review[k]).cast("long")) == 0))
+    same = lambda x, key: F.coalesce(x[key] == F.col(key), F.lit(False))
+    full = lambda *keys: F.coalesce(F.expr(filled(keys)), F.lit(False))
+    # Whether a list's source is joined by name and unit; the target's own name and unit are filled if they equal the source's.
+    in_unit = lambda x: same(x, "unit") & full("work_name", "unit")
+    in_name = lambda x: same(x, "work_name") & (in_unit(x) | same(x, "object_code") | same(x, "subobject_code"))
+    in_position = lambda x: same(x, "object_code") & same(x, "subobject_code") & full("object_code", "subobject_code")
+    held = lambda test: F.filter(F.coalesce("list", F.array()), test)
+
+    def plain(test) -> Column:
+        """Candidates that no rule joins and no list before holds."""
+        return F.aggregate(held(lambda x: unruled(x) & test(x)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+    def chosen(strategy: str, test) -> Column:
+        """Selectable ones of a strategy, and the least of them."""
+        rows = held(lambda x: free(x) & test(x))
+        return F.struct(F.lit(ORDINAL[strategy]).alias("ordinal"), F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), F.array_min(F.transform(rows, lambda x: x["first"])).alias("source_row_id"))
+
+    any_ = lambda x: F.lit(True)
+    position, index, name_unit = (list(KEYS[k]) for k in ("object_subobject_position", "index_position", "normalized_name_unit"))
+    name_object, name_subobject = ["work_name", "object_code"], ["work_name", "subobject_code"]
+    context, other = "normalized_name_context", lambda x: ~same(x, "subobject_code")
+    # Only sources whose subobject some target has can share a position with one.
+    subobjects = small(targets.select("subobject_code").distinct())
+    t = with_counts(t, s, name_object, present(name_object), ["subobject_code", "unit"], False, p0=plain(lambda x: ~in_unit(x) & other(x)), c5=chosen(context, other))
+    t = with_counts(
+        t, s.join(subobjects, "subobject_code", "left_semi"), position, filled(position), ["work_name", "unit"], False,
+        p1=plain(lambda x: ~same(x, "work_name")), c0=chosen("exact_business_key", lambda x: same(x, "work_name") & in_unit(x)), c2=chosen("object_subobject_position", any_),
+    )
+    t = with_counts(t, s, index, filled(index), ["object_code", "subobject_code", "work_name", "unit"], False, p2=plain(lambda x: ~in_position(x) & ~in_name(x)), c1=chosen("index_position", any_))
+    t = with_counts(t, s, name_subobject, present(name_subobject), ["unit"], True, p3=plain(lambda x: ~in_unit(x)), c4=chosen(context, any_))
+    t = with_counts(t, s, name_unit, filled(name_unit), [], True, p4=plain(any_), c3=chosen("normalized_name_unit", any_))
+    by_context = F.struct(F.col("c4.ordinal"), (F.col("c4.n") + F.col("c5.n")).alias("n"), F.least("c4.source_row_id", "c5.source_row_id").alias("source_row_id"))
+    ranked = F.array("c0", "c1", "c2", "c3", by_context)
+    out = t.select("target_row_id", *meant, sum((F.col(f"p{i}") for i in range(1, 5)), F.col("p0")).alias("plain"), F.get(F.filter(ranked, lambda x: x["n"] > 0), F.lit(0)).alias("b"))
+    ruled = small(rule_profiles(sources, targets, clauses)[1].select(*meant, "n_sources", "n_blocked", "n_free", "first_free"))
+    out = out.join(ruled, meant, "left").na.fill(0, ["n_sources", "n_blocked", "n_free"])
+    by_rule = F.when(F.col("n_free") > 0, F.struct(F.lit(ORDINAL["configuration_rule"]).alias("ordinal"), F.col("n_free").alias("n"), F.col("first_free").alias("source_row_id")))
+    b, n = F.coalesce("b", by_rule), F.col("plain") + F.col("n_sources")
+    return out.select("target_row_id", *_status(b["n"], b["ordinal"], b["source_row_id"], n, n > F.col("n_blocked")))
+
+
 def _status(n: Column, ordinal: Column, source: Column, total: Column, unblocked: Column) -> list[Column]:
     matched = n == 1
     status = F.when(matched, "matched").when((n > 1) | (n.isNull() & F.coalesce(unblocked, F.lit(False))), "ambiguous").otherwise("unmatched")
