@@ -178,31 +178,34 @@ class Places:
     def contexts(self, context: np.ndarray, low: int = 0, high: int | None = None) -> np.ndarray:
         """For each place from low to high, the vectors of the last word, of the last but one, and the mean of those before (the
         first axis). The first REACH places lack what lies before low."""
-        each = context[self.ids[low:high]]
-        out = np.zeros((3, *each.shape), dtype=np.float32)
+        each = context.take(self.ids[low:high], axis=0)
+        out = np.empty((3, *each.shape), dtype=np.float32)
+        out[0, :1], out[1, :2], out[2, :REACH] = 0, 0, 0
         out[0, 1:], out[1, 2:] = each[:-1], each[:-2]
         each[~self.text[low:high]] = 0
-        for width in (1, 2, 4, 8):  # sums of 2, 4, 8 and MEAN places
-            each[width:] = each[width:] + each[:-width]
-        out[2, 3:] = each[:-3] / MEAN
+        for width in (1, 2, 4, 8):  # sums of 2, 4, 8 and MEAN places, of as many as there are
+            each = each[width:] + each[:-width]
+        np.multiply(each[:-3], np.float32(1 / MEAN), out=out[2, REACH:])
         return out
 
     def back(self, grad: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the context vectors of all places, and of the vector before a text."""
-        out = np.zeros_like(grad)
-        out[:-1] = grad[1:] * place[0]
+        out = np.empty_like(grad)
+        np.multiply(grad[1:], place[0], out=out[:-1])
+        out[-1] = 0
         out[:-2] += grad[2:] * place[1]
         first = out[~self.text].sum(axis=0)
-        sums = grad.copy()
+        sums = grad
         for width in (1, 2, 4, 8):
-            sums[:-width] = sums[:-width] + sums[width:]
-        out[:-3] += sums[3:] * (place[2] / MEAN)
+            sums = sums[:-width] + sums[width:]
+        sums = sums[3:]
+        sums *= place[2] / MEAN
+        out[:-REACH] += sums  # the last places are no text's
         return out, first
 
 
-def sigma(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place; exp overflows to the right limit."""
-    np.negative(x, out=x)
+def shortfall(x: np.ndarray) -> np.ndarray:
+    """1 less the logistic function, in place; exp overflows to the right limit."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -213,6 +216,11 @@ def firsts(sorted_numbers: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_numbers[1:] != sorted_numbers[:-1]))
 
 
+def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at `first`. numpy adds column by column, and two columns as one complex number."""
+    return np.add.reduceat(np.ascontiguousarray(rows).view(np.complex64), first, axis=0).view(np.float32)
+
+
 def states(seen: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Contexts' vectors; the last column, which meets the biases, is 1."""
     h = seen[0] * place[0]
@@ -228,7 +236,8 @@ def train(model: Model, batches: Iterator[list[tuple[np.ndarray, int]]], seed: i
 
     For its group, a place competes with GROUP_NOISE groups drawn by share for the whole batch; for its symbol, with NOISE
     symbols drawn by share in its group. The places of a batch are sorted by symbol and so by group, and those of one
-    group are taken in runs, so sums are over neighbours and products are dense.
+    group are taken in runs, so sums are over neighbours and products are dense. The vectors of noise are negated and lack
+    the noise's logarithm in their bias, so that what each vector adds to a gradient is the shortfall of its product.
     """
     m = Model(model.words, model.begin, model.share, model.vectors.copy())
     context, symbol, group, place = m.parts
@@ -246,68 +255,80 @@ def train(model: Model, batches: Iterator[list[tuple[np.ndarray, int]]], seed: i
 
     def move(rows: np.ndarray, total: np.ndarray, weight: np.ndarray) -> None:
         used[rows] += weight
-        total_squares = squares[rows]
-        total_squares += total * total
-        squares[rows] = total_squares
-        m.vectors[rows] += rate * total / np.sqrt(total_squares)
+        step = squares.take(rows, axis=0)
+        step += total * total
+        squares[rows] = step
+        np.sqrt(step, out=step)
+        np.divide(total, step, out=step)
+        step *= np.float32(rate)
+        step += m.vectors.take(rows, axis=0)
+        m.vectors[rows] = step
 
     def move_sorted(at: np.ndarray, grad: np.ndarray) -> None:
         first = firsts(at)
-        move(at[first], np.add.reduceat(grad, first, axis=0), np.diff(np.append(first, len(at))))
+        move(at[first], run_sums(grad, first), np.diff(np.append(first, len(at))))
 
     def move_any(at: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(at.astype(small), kind="stable")
-        move_sorted(at[order], grad[order])
+        move_sorted(at[order], grad.take(order, axis=0))
 
     for batch in batches:
         p = Places(batch, m.size)
         real = np.flatnonzero(p.real)
         real = real[np.argsort(p.ids[real].astype(small), kind="stable")]
-        seen, target = p.contexts(context)[:, real], p.ids[real]
-        h = states(seen, place)
-        own = group_of[target]
-        # The group.
+        seen, target = p.contexts(context), p.ids[real]
+        own, n_real = group_of[target], len(real)
+        h = np.zeros((n_real + 1, WIDTH + 1), dtype=np.float32)  # the last row fills up runs
+        h[:-1] = states(seen, place).take(real, axis=0)
+        padded, h = h, h[:-1]
+        # The group's noise.
         noise = rng.choice(n_groups, GROUP_NOISE, p=of_group)
-        vt, vn = group[own], group[noise]
-        dt = 1 - sigma(np.einsum("ij,ij->i", h, vt) - log_group[own])
-        dn = -sigma(h @ vn.T - log_group[noise])
+        vn = -group[noise]
+        vn[:, WIDTH] += log_group[noise]
+        dn = shortfall(h @ vn.T)
         grad = dn @ vn
-        vt *= dt[:, None]
-        grad += vt
-        by_noise = dn.T @ h
-        by_own = dt[:, None] * h
-        # The symbol in it: runs of places of one group, all with the group's noise.
+        by_noise = -(dn.T @ h)
+        # The group, and the symbols drawn in it: runs of places of one group, all with the group's noise.
         n_own = np.bincount(own, minlength=n_groups)
         n_runs = -(-n_own // RUN)
         of_run = np.repeat(np.arange(n_groups), n_runs)
         nth = np.arange(len(of_run)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
         rows = (np.cumsum(n_own) - n_own)[of_run][:, None] + (nth * RUN)[:, None] + np.arange(RUN)
         held = rows < np.cumsum(n_own)[of_run][:, None]
-        np.minimum(rows, len(own) - 1, out=rows)
+        rows[~held] = n_real
         drawn = np.searchsorted(upto, low[:, None] + rng.random((n_groups, NOISE)) * (high - low)[:, None], side="right") - 1
         drawn = np.clip(drawn, m.begin[:-1, None], m.begin[1:, None] - 1)
-        hs, vs = h[rows], symbol[drawn][of_run]
-        ds = sigma(hs @ vs.transpose(0, 2, 1) - log_symbol[drawn][of_run][:, None])
-        ds *= -held[..., None].astype(np.float32)
-        grad += (ds @ vs)[held]  # runs hold the places in order
-        by_drawn = np.add.reduceat(ds.transpose(0, 2, 1) @ hs, firsts(of_run), axis=0)
-        vt = symbol[target]
-        dt = 1 - sigma(np.einsum("ij,ij->i", h, vt) - log_symbol[target])
+        each = np.empty((n_groups, NOISE + 1, WIDTH + 1), dtype=np.float32)
+        np.negative(symbol[drawn], out=each[:, :NOISE])
+        each[:, :NOISE, WIDTH] += log_symbol[drawn]
+        each[:, NOISE] = group
+        each[:, NOISE, WIDTH] -= log_group
+        hs, vs = padded.take(rows, axis=0), each.take(of_run, axis=0)
+        ds = shortfall(hs @ vs.transpose(0, 2, 1))
+        grad += (ds @ vs).reshape(-1, WIDTH + 1).take(np.flatnonzero(held), axis=0)  # runs hold the places in order
+        by_run = ds.transpose(0, 2, 1) @ hs
+        by_each = by_run[nth == 0]
+        place_of = np.cumsum(n_own > 0) - 1
+        for k in range(1, int(nth.max()) + 1):
+            by_each[place_of[of_run[nth == k]]] += by_run[nth == k]
+        # The symbol.
+        vt = symbol.take(target, axis=0)
+        dt = shortfall(np.einsum("ij,ij->i", h, vt) - log_symbol[target])
         vt *= dt[:, None]
         grad += vt
         h *= dt[:, None]
         move_sorted(target + at_symbol, h)
-        move_any(drawn[n_own > 0].ravel() + at_symbol, by_drawn.reshape(-1, WIDTH + 1))
-        move_sorted(own + at_group, by_own)
+        move_any(drawn[n_own > 0].ravel() + at_symbol, -by_each[:, :NOISE].reshape(-1, WIDTH + 1))
+        move(np.flatnonzero(n_own) + at_group, by_each[:, NOISE], n_own[n_own > 0])
         move_any(noise + at_group, by_noise)
         # The context.
         grad[:, WIDTH] = 0
-        of_place = np.einsum("kij,ij->kj", seen, grad)
         whole = np.zeros((len(p.ids), WIDTH + 1), dtype=np.float32)
         whole[real] = grad
+        of_place = np.einsum("kij,ij->kj", seen, whole)
         by_place, first = p.back(whole, place)
         move(np.array([m.size]), first[None], np.array([1.0]))
-        move_sorted(target, by_place[real])
+        move_sorted(target, by_place.take(real, axis=0))
         if len(leads := np.flatnonzero(p.text & ~p.real)):
             move_any(p.ids[leads], by_place[leads])
         move(at_place + np.arange(3), of_place / np.float32(len(real) ** 0.5), np.full(3, len(real)))

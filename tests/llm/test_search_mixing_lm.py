@@ -171,6 +171,63 @@ def test_training_learns_what_follows():
     assert used[model.size] > 0 and used[-1] == 40000  # the vector before a text; every position
 
 
+def stepped(model, batch, seed):
+    """The vectors after one batch of training, place by place."""
+    width, old = bilinear.WIDTH, model.vectors.astype(float)
+    s, n_groups, group_of = model.size, len(model.begin) - 1, model.group_of
+    of_group = np.add.reduceat(model.share, model.begin[:-1])
+    rng, upto = np.random.default_rng([11, seed]), np.concatenate([[0], np.cumsum(model.share)])
+    noise = rng.choice(n_groups, bilinear.GROUP_NOISE, p=of_group)
+    low, high = upto[model.begin[:-1], None], upto[model.begin[1:], None]
+    drawn = np.searchsorted(upto, low + rng.random((n_groups, bilinear.NOISE)) * (high - low), side="right") - 1
+    grads, places = {k: np.zeros_like(old) for k in ("own", "drawn", "group", "noise", "before", "real", "lead", "place")}, old[-3:]
+    n = 0
+    for ids, lead in batch:
+        for t in range(lead, len(ids)):
+            at = {k: (ids[t - k], "lead" if t - k < lead else "real") if t >= k else (s, "before") for k in range(1, bilinear.REACH + 1)}
+            used = [(*at[k], k - 1, 1) for k in (1, 2)] + [(*at[k], 2, 1 / bilinear.MEAN) for k in range(3, bilinear.REACH + 1) if t >= k]
+            h, gh, g = sum(old[row] * places[k] * w for row, _, k, w in used), np.zeros(width + 1), group_of[ids[t]]
+            h[width] = 1
+            ratio = lambda i: bilinear.NOISE * model.share[i] / of_group[group_of[i]]
+            met = [("own", s + 1 + ids[t], ratio(ids[t])), ("group", 2 * s + 1 + g, bilinear.GROUP_NOISE * of_group[g])]
+            met += [("drawn", s + 1 + i, ratio(i)) for i in drawn[g]] + [("noise", 2 * s + 1 + i, bilinear.GROUP_NOISE * of_group[i]) for i in noise]
+            for name, row, q in met:
+                d = (name in ("own", "group")) - 1 / (1 + math.exp(math.log(q) - h @ old[row]))
+                grads[name][row] += d * h
+                gh += d * old[row]
+            gh[width] = 0
+            for row, name, k, w in used:
+                grads[name][row] += gh * places[k] * w
+                grads["place"][k - 3] += gh * old[row] * w
+            n += 1
+    grads["place"] /= n**0.5
+    squares, new = np.ones_like(old), old.copy()
+    for grad in grads.values():
+        squares += grad**2
+        new += bilinear.RATE * grad / np.sqrt(squares)
+    return new
+
+
+def test_training_step_against_loops():
+    """Groups with several runs of places, with a run that is not full, and with none; texts that are cut."""
+    model, rng = small_model(scale=0.4), np.random.default_rng(8)
+    few = np.append(np.arange(8), model.size - 1)
+    batch = [p for n in (1, 2, 30, 210) for p in bilinear.pieces(rng.choice(few, n), 90)]
+    found, used = bilinear.train(model, iter([batch]), 5)
+    want = stepped(model, batch, 5)
+    assert np.abs(want - model.vectors).max() > 0.03 and np.allclose(found, want, atol=1e-5)
+    assert used[-1] == 243 and (used[model.vectors.shape[0] - 3 :] == 243).all()
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(600, bilinear.WIDTH + 1)).astype(np.float32)
+    for first in (np.array([0]), np.arange(600), np.array([0, 1, 2, 9, 400, 599])):
+        want = [rows[low:high].astype(float).sum(axis=0) for low, high in zip(first, [*first[1:], 600])]
+        assert np.allclose(bilinear.run_sums(rows, first), want, atol=1e-4)
+        assert np.allclose(bilinear.run_sums(rows[:, ::-1], first), np.array(want)[:, ::-1], atol=1e-4)  # rows that do not lie end to end
+
+
 def tokens(text):
     return [*text.encode().lower().split(), bilinear.END]
 
